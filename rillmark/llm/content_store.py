@@ -224,7 +224,7 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*same, pa.array([x for d in digests for x in d], pa.binary()), pa.array(after, pa.int64())], ["doc_id", "row", "part", "start", "n_tokens", "root", "digest", "after"])
 
     def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in storage.wider(batches):
             if batch.column("crc").null_count:
                 raise ValueError("a recipe names a chunk that is not stored")
             crc = crc_shifted(batch.column("crc").to_numpy(), batch.column("after").to_numpy())

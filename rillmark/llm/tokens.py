@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +20,7 @@ from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
-PIECES = 400_000
+PIECES = 500_000
 LONGEST_PIECE = 64
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -36,6 +37,13 @@ def _pieces(lead: str, blank: str, more: str = "") -> re.Pattern[str]:
     )
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable Latin-1 as it is, the rest from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 #: Blanks belong to the pieces: a run of them goes without its last one before a word.
 BYTE_PIECES = _pieces(" ?", _BLANK, f"|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 #: Blanks are dropped; only the plain ones are taken as certain separators.
@@ -48,10 +56,14 @@ def vocabulary_path(name: str) -> str:
 
 
 class PieceEncoder(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers; holds at most ``PIECES``."""
+    """piece -> its ids as little-endian unsigned 32-bit integers.
+
+    Holds ``PIECES`` new pieces and as many of the generation before, so that frequent ones stay.
+    """
 
     def __init__(self, path: str):
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
@@ -59,14 +71,26 @@ class PieceEncoder(dict):
         kind = (spec.get("normalizer") or {}).get("type"), (spec.get("pre_tokenizer") or {}).get("type")
         suffix = spec["model"].get("end_of_word_suffix")
         self.pieces = BYTE_PIECES if kind == (None, "ByteLevel") else WORD_PIECES if kind == ("Sequence", "Sequence") and suffix else None
+        # a piece of one kind of character is one pre-token, so the library's model can take it at once
+        self.lower = self.pieces is WORD_PIECES
+        self.model, self.letters = self.library.model, _byte_letters()
+        self.whole = re.compile(f"[{_LETTER}]+|[{_MARK}]+" if self.lower else f" ?(?:[{_LETTER}]+|[{_MARK}]+|[0-9]+)").fullmatch
 
     def encoded(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encoded(piece)
+        ids = self.before.pop(piece, None)
+        if ids is not None:
+            pass
+        elif self.whole(piece):
+            written = (piece.lower() if self.lower else piece).encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        else:
+            ids = self.encoded(piece)
         if len(piece) <= LONGEST_PIECE:
             if len(self) >= PIECES:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
