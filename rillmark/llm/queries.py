@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillmark.llm import content_store, jpeg, packing, quality, secrets, simhash, storage, topk
+from rillmark.llm import content_store, jpeg, language, mixture, packing, quality, secrets, simhash, storage, surrogates, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,18 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixed_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,10 @@ def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymised_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -47,9 +59,12 @@ QUERIES = (
     op1_content_store,
     op2_impact_ordered_top_k,
     op3_best_fit_packing,
+    op4_raked_mixture,
     op5_jpeg_media,
+    op6_fused_language,
     op7_simhash_components,
     op8_subword_quality,
+    op9_keyed_surrogates,
     op10_token_efficiency_secrets,
 )
 

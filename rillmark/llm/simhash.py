@@ -22,8 +22,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rillmark.llm import storage
 
@@ -166,12 +168,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def groups(prints: DataFrame) -> DataFrame:
-    """Add component_id to rows (doc_id, fp, ...) that are on disk: the least doc_id reachable."""
+def groups(prints: DataFrame, name: str = "component_id") -> DataFrame:
+    """Add component_id to rows (doc_id, fp, ...) that are on disk: the least doc_id reachable.
+
+    With ``name`` "root" the component is named by a fingerprint instead, which is never null.
+    """
     known = storage.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(known.select("fp")))
     rooted = known.join(roots, known["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = storage.staged(rooted, "rooted")
+    if name == "root":
+        return prints.join(rooted.select("fp", "root"), "fp")
     joined = rooted.where("root <> fp").select("root").distinct()
     names = rooted.join(joined, "root").groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
@@ -183,3 +190,31 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row."""
     prints = storage.staged(fingerprints(docs, words), "fingerprints")
     return groups(prints).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` of which each component keeps one: the least (doc_id, row) of it.
+
+    The texts are not shuffled by component: rows are numbered once, in a staged copy that holds
+    their fingerprints, and the few rows that go are joined back by number.
+    """
+    storage.small_batches(docs.sparkSession)
+    names = [c for c in docs.columns if c not in ("__fp", "__row")]
+    schema = StructType([*docs.select(*names).schema.fields, StructField("__fp", LongType()), StructField("__row", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            fp = np.array([fingerprint(t, words) for t in batch.column("__text").to_pylist()], np.uint64).astype(np.int64)
+            kept = [batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fp), pa.array(row + np.arange(len(fp)))], [*names, "__fp", "__row"])
+            row += len(fp)
+
+    full = docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    full = storage.staged(full, "numbered")
+    prints = full.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"), F.col("__row").alias("row"))
+    member = groups(prints, "root")
+    # the least (doc_id, row) of a component, by partial aggregation; the nulls of doc_id come last
+    first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    stays = storage.staged(first.select(F.col("first.row").alias("__row")), "stays")
+    return full.join(stays, "__row", "left_semi").select(*names)
