@@ -20,7 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -210,5 +210,8 @@ def checked(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 def pseudonymised_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """doc_id, text, n_entities and the count of each kind, for every row."""
     out = checked(docs.select("doc_id", "text"), key)
-    counts = [F.size(F.filter("pii_entities", lambda e, k=k: e["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii_entities", lambda e: e["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
     return out.select("doc_id", "text", F.size("pii_entities").cast("long").alias("n_entities"), *counts)
