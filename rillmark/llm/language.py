@@ -71,7 +71,7 @@ class TextModel:
                     known[word] = own
             total += own
             n += 1
-        if n:
+        if n and len(total):
             total = (total - total.max()) * TEXT_POWER * min(1.0, WORDS_MOST / n)
         return total
 

@@ -108,7 +108,7 @@ def cell_table(described_docs: DataFrame) -> DataFrame:
     return described_docs.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"))
 
 
-def _raked_here(cells: DataFrame, targets: dict, share: float, temperature: float) -> DataFrame:
+def _raked_here(cells: DataFrame, targets: dict, share: float, temperature: float, rounds: int = ROUNDS) -> DataFrame:
     rows = cells.orderBy(*[f"__{a}" for a in AXES]).collect()
     tokens = np.array([r["tokens"] for r in rows], float)
     codes, wanted = [], []
@@ -119,7 +119,7 @@ def _raked_here(cells: DataFrame, targets: dict, share: float, temperature: floa
         sums = np.bincount(code, tokens, len(names))
         codes.append(code)
         wanted.append(_targets(names, targets.get(axis), dict(zip(names, sums.tolist(), strict=True)), temperature))
-    factor = rake(tokens, np.array(codes), wanted) if rows else np.zeros(0)
+    factor = rake(tokens, np.array(codes), wanted, rounds) if rows else np.zeros(0)
     r = rate(factor, tokens, share * tokens.sum()) if rows else 0.0
     p = np.where(factor > 0, np.minimum(1.0, r * np.maximum(factor, 1e-300)), 0.0)
     out = [(*[x[f"__{a}"] for a in AXES], float(f), float(q)) for x, f, q in zip(rows, factor, p, strict=True)]
@@ -157,14 +157,14 @@ def _raked_apart(cells: DataFrame, targets: dict, share: float, temperature: flo
         low = high = 1e300
     while high < 1e300 and kept(high) < wish:
         low, high = high, 2 * high
-    for _ in range(60):
+    for _ in range(44):
         middle = (low + high) / 2
         low, high = (middle, high) if kept(middle) < wish else (low, middle)
     p = F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.lit(high) * F.col("weight"))).otherwise(0.0)
     return now.select(*[f"__{a}" for a in AXES], "weight", p.alias("probability"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict] | None = None, share: float = SHARE, temperature: float = TEMPERATURE, seed: int = 11, cells_most: int = CELLS_MOST) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict] | None = None, share: float = SHARE, temperature: float = TEMPERATURE, seed: int = 11, cells_most: int = CELLS_MOST, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with n_tokens, topic, weight, probability and kept.
 
     ``targets``: for an axis, the wished share of each category; other axes get their own shares
@@ -173,7 +173,7 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, share: float =
     full = described(docs)
     cells = storage.staged(cell_table(full), "cells")
     small = cells.count() <= cells_most
-    raked = (_raked_here if small else _raked_apart)(cells, targets or {}, share, temperature)
+    raked = (_raked_here if small else _raked_apart)(cells, targets or {}, share, temperature, rounds)
     keys = [f"__{a}" for a in AXES]
     # uniform in [0, 1): 53 bits of a keyed hash
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))), 11) / F.lit(float(1 << 53))
