@@ -122,12 +122,12 @@ def links(fps: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     some = groups.where(f"n > 2 and n <= {group_most}").select("z")
-    forest = filed.join(some, "z").groupBy("z").agg(F.collect_list("fp").alias("members")).select("members").mapInArrow(verify, "a long, b long")
+    forest = filed.join(some.hint("merge"), "z").groupBy("z").agg(F.collect_list("fp").alias("members")).select("members").mapInArrow(verify, "a long, b long")
     out = pairs.unionByName(forest)
     crowded = groups.where(f"n > {group_most}").select("z")
     if not crowded.isEmpty():
         flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-        met = filed.join(crowded, "z").select("fp").distinct().select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("w"))
+        met = filed.join(crowded.hint("merge"), "z").select("fp").distinct().select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("w"))
         star = met.groupBy("w").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
         out = out.unionByName(star.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b"))
     return out.distinct()
@@ -217,4 +217,5 @@ def deduplicated(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     # the least (doc_id, row) of a component, by partial aggregation; the nulls of doc_id come last
     first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
     stays = storage.staged(first.select(F.col("first.row").alias("__row")), "stays")
-    return full.join(stays, "__row", "left_semi").select(*names)
+    # what stays grows with the corpus, so it is never broadcast: the plan is the same at every size
+    return full.join(stays.hint("merge"), "__row", "left_semi").select(*names)
