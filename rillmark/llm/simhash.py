@@ -25,7 +25,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from rillmark.llm import storage
 
@@ -35,21 +35,28 @@ GROUP_MOST = 4096
 _BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """Unsigned 64-bit fingerprint of a whole text."""
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of every shingle in order, repeats included; nothing for a text without words."""
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(found)
     ends = list(accumulate(len(w) + 1 for w in found))
     n = max(1, len(found) - words + 1)
-    starts = [0, *ends[: n - 1]]
-    stops = ends[min(words, len(found)) - 1 :]
-    digest, bits = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, _BLOCK):
-        h = np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts[at : at + _BLOCK], stops[at : at + _BLOCK], strict=True)], "<u8")
-        bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > n, bitorder="little").tobytes(), "little")
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a : b - 1], SEED) for a, b in zip([0, *ends[: n - 1]], ends[min(words, len(found)) - 1 :], strict=True)], "<u8")
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint: the bits that over half the hashes have set."""
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(h), _BLOCK):
+        bits += np.unpackbits(h[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(h), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    return fingerprint_of(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -168,17 +175,12 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def groups(prints: DataFrame, name: str = "component_id") -> DataFrame:
-    """Add component_id to rows (doc_id, fp, ...) that are on disk: the least doc_id reachable.
-
-    With ``name`` "root" the component is named by a fingerprint instead, which is never null.
-    """
+def groups(prints: DataFrame) -> DataFrame:
+    """Add component_id to rows (doc_id, fp, ...) that are on disk: the least doc_id reachable."""
     known = storage.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(known.select("fp")))
     rooted = known.join(roots, known["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = storage.staged(rooted, "rooted")
-    if name == "root":
-        return prints.join(rooted.select("fp", "root"), "fp")
     joined = rooted.where("root <> fp").select("root").distinct()
     names = rooted.join(joined, "root").groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
@@ -192,30 +194,126 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return groups(prints).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``docs`` of which each component keeps one: the least (doc_id, row) of it.
+# ---- near copies by similarity
+#
+# Two texts that share four fifths of their five-word shingles often differ in more than two bits:
+# at one edit in forty words, most do.  So the stage has a second source of candidates, hashes of
+# small groups of shingles, and decides every candidate, of either source, on the shingles.
+
+STAGE_WORDS, SIMILARITY = 5, 0.8
+GROUPS_KEPT, GROUP_BITS = 40, 2
 
-    The texts are not shuffled by component: rows are numbered once, in a staged copy that holds
-    their fingerprints, and the few rows that go are joined back by number.
+
+def group_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of groups of about 4 to 8 distinct shingles, dealt by hash; ``GROUPS_KEPT`` at most a size.
+
+    A group is intact in both of two texts with probability 0.8^6 or so, and there are forty.  The
+    number of groups follows the power of two below the text's number of shingles; texts that could
+    resemble one on the other side of such a border get the keys of both sides.
     """
+    h = np.unique(h)
+    n = len(h)
+    if not n:
+        return np.zeros(0, np.int64)
+    c = n.bit_length() - 1
+    sides = {c} | ({c - 1} if c and n * SIMILARITY < 1 << c else set()) | ({c + 1} if n > SIMILARITY * (2 << c) else set())
+    with np.errstate(over="ignore"):
+        mixed = h * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        out = []
+        for side in sorted(sides):
+            count = np.uint64(1 << max(0, side - GROUP_BITS))
+            group = mixed % count
+            some = group < GROUPS_KEPT
+            ids, place = np.unique(group[some], return_inverse=True)
+            sums = np.zeros(len(ids), np.uint64)
+            np.add.at(sums, place, mixed[some] * np.uint64(0xD1B54A32D192ED03))
+            key = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + ids * np.uint64(64) + np.uint64(side)
+            out.append(key ^ (key >> np.uint64(31)))
+        return np.unique(np.concatenate(out)).astype(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the distinct shingles of either that both have; two texts without any are alike."""
+    a, b = np.unique(a), np.unique(b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def sketched(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
+    """``docs`` with __row, __same (a digest of the words), __fp and __keys."""
     storage.small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("__fp", "__row")]
-    schema = StructType([*docs.select(*names).schema.fields, StructField("__fp", LongType()), StructField("__row", LongType())])
+    names = [c for c in docs.columns if c not in ("__row", "__same", "__fp", "__keys", "__text")]
+    added = [StructField("__row", LongType()), StructField("__same", BinaryType()), StructField("__fp", LongType()), StructField("__keys", ArrayType(LongType()))]
+    schema = StructType([*docs.select(*names).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            fp = np.array([fingerprint(t, words) for t in batch.column("__text").to_pylist()], np.uint64).astype(np.int64)
-            kept = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(fp), pa.array(row + np.arange(len(fp)))], [*names, "__fp", "__row"])
-            row += len(fp)
-
-    full = docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
-    full = storage.staged(full, "numbered")
-    prints = full.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"), F.col("__row").alias("row"))
-    member = groups(prints, "root")
-    # the least (doc_id, row) of a component, by partial aggregation; the nulls of doc_id come last
-    first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
-    stays = storage.staged(first.select(F.col("first.row").alias("__row")), "stays")
+            texts = batch.column("__text").to_pylist()
+            hashes = [shingle_hashes(t, words) for t in texts]
+            same = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
+            made = [pa.array(row + np.arange(len(texts))), pa.array(same, pa.binary()), pa.array(np.array([fingerprint_of(h) for h in hashes], np.uint64).astype(np.int64)), pa.array([group_keys(h) for h in hashes], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *made], [*names, *[f.name for f in added]])
+            row += len(texts)
+
+    return docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of rows to decide, from group keys and from near fingerprints.
+
+    ``reps`` (row, fp, keys) is on disk.  Everyone in a group is paired with its first and last
+    row, and a fingerprint's rows with its first, so pairs grow with the rows and not their square.
+    """
+    filed = reps.select("row", F.explode("keys").alias("key"))
+    ends = filed.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("z")).where("a < z")
+    met = filed.join(ends.hint("merge"), "key")
+    pairs = met.select(F.explode(F.array(F.struct("a", F.col("row").alias("b")), F.struct(F.col("row").alias("a"), F.col("z").alias("b")))).alias("p")).select("p.*")
+    first = storage.staged(reps.groupBy("fp").agg(F.min("row").alias("first")), "prints")
+    alike = reps.select("fp", "row").join(first.hint("merge"), "fp").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    near = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")).hint("merge"), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")).hint("merge"), "b")
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.unionByName(alike).unionByName(near).where("a <> b").distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """The pairs whose texts (row, text) share ``least`` of their shingles."""
+    spark = pairs.sparkSession
+    storage.small_batches(spark)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, known, keep = None, None, []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if x != last:
+                    last, known = x, np.unique(shingle_hashes(x, words))
+                keep.append(similarity(known, shingle_hashes(y, words)) >= least)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = texts.select(F.col("row").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("row").alias("b"), F.col("text").alias("y"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(decide, "a long, b long")
+
+
+def deduplicated(docs: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` of which each group of near copies keeps one: the least (doc_id, row).
+
+    Near copies share ``least`` of their distinct word shingles, or are linked by others that do.
+    Texts with the same words in the same order are one from the start.
+    """
+    names = [c for c in docs.columns if c not in ("__row", "__same", "__fp", "__keys", "__text")]
+    full = storage.staged(sketched(docs.select(*names), words), "sketched")
+    order = (F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"))
+    reps = full.groupBy("__same").agg(F.min(F.struct(*order, F.col("__fp").alias("fp"), F.col("__keys").alias("keys"))).alias("r")).select("r.*")
+    reps = storage.staged(reps, "representatives")
+    pairs = storage.staged(candidates(reps), "pairs")
+    asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    texts = full.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text")).join(asked.hint("merge"), "row", "left_semi")
+    texts = storage.staged(texts, "texts")
+    roots = storage.staged(components(similar(pairs, texts, words, least)), "roots")
+    grouped = reps.select("no_id", "doc_id", "row").join(roots.hint("merge"), F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row"))
+    stays = storage.staged(grouped.groupBy("root").agg(F.min(F.struct("no_id", "doc_id", "row")).alias("r")).select(F.col("r.row").alias("__row")), "stays")
     # what stays grows with the corpus, so it is never broadcast: the plan is the same at every size
     return full.join(stays.hint("merge"), "__row", "left_semi").select(*names)
