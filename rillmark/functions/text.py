@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StringType
 SUBSTITUTIONS = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
 REMOVED = [
     "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students",
-    "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\;", ",\\!", "{,}", '"', "\\dots",
+    "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
 ]
 
 
@@ -107,7 +107,8 @@ def ngram_repetition(words: Column, n: int = 4) -> Column:
     """Share of n-grams that repeat an earlier one."""
     from rillmark.functions.arrays import windows
 
-    grams = windows(words, n)
+    # as strings: distinct arrays are found by comparing all pairs, distinct strings by hash
+    grams = F.transform(windows(words, n), lambda g: F.array_join(g, "\u001f"))
     return F.when(F.size(grams) > 0, F.lit(1.0) - F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(F.lit(0.0))
 
 

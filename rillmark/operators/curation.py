@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions.arrays import unit_rows, windows
 from rillmark.functions.text import decontamination_tokens
+from rillmark.sources.staging import spread
 
 GRAM = 10
 
@@ -19,7 +20,7 @@ GRAM = 10
 def grams(df: DataFrame, key: str, text: str, n: int = GRAM) -> DataFrame:
     """(key, gram): SHA-256 of every run of n tokens, joined by the unit separator."""
     runs = windows(decontamination_tokens(F.col(text)), n)
-    return df.select(key, F.explode(F.transform(runs, lambda g: F.sha2(F.array_join(g, "\u001f"), 256))).alias("gram"))
+    return spread(df.select(key, text)).select(key, F.explode(F.transform(runs, lambda g: F.sha2(F.array_join(g, "\u001f"), 256))).alias("gram"))
 
 
 def contaminated(train: DataFrame, bench: DataFrame, n: int = GRAM, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:

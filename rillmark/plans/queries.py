@@ -14,6 +14,7 @@ from rillmark.functions import arrays, text
 from rillmark.operators import advantages, balancing, batch, curation, evaluation, losses, routing
 from rillmark.plans import rollouts as plan
 from rillmark.plans.rollouts import order_tokens, rollouts, table
+from rillmark.sources.staging import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -419,7 +420,7 @@ def role_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""WITH w AS (SELECT doc_id, string_split_regex(text, '\\s+') AS w FROM documents), g AS (SELECT doc_id, [w[i:i+3] FOR i IN range(1, len(w) - 2)] AS g FROM w)
 SELECT doc_id, round(CASE WHEN len(g) > 0 THEN 1 - len(list_distinct(g)) / len(g) ELSE 0 END, 6) AS repetition FROM g""")
 def ngram_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", six(text.ngram_repetition(F.split("text", r"\s+"))).alias("repetition"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", six(text.ngram_repetition(F.split("text", r"\s+"))).alias("repetition"))
 
 
 @register("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS words FROM documents WHERE lang = 'en'")

@@ -22,3 +22,13 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/rillmark/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to as many partitions as there are cores, if it has fewer.
+
+    A file of one row group is one task, however much work its rows make; large inputs have
+    partitions enough and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
