@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -198,10 +199,18 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 #
 # Two texts that share four fifths of their five-word shingles often differ in more than two bits:
 # at one edit in forty words, most do.  So the stage has a second source of candidates, hashes of
-# small groups of shingles, and decides every candidate, of either source, on the shingles.
+# small groups of shingles, whose links join most near copies at little cost.  What they leave is
+# found by prefixes: in any one order of all shingles, two texts at the similarity share one among
+# the first n - ceil(similarity x n) + 1 of each.  Every two rows that share one and are not yet in
+# one component are decided, so no pair is missed at any length, and every candidate, of any
+# source, is decided on the shingles.
 
+ADDED = ("__row", "__same", "__fp", "__keys", "__size", "__prefix", "__text")
 STAGE_WORDS, SIMILARITY = 5, 0.8
 GROUPS_KEPT, GROUP_BITS = 40, 2
+#: Shingles that come last in the order of prefixes: the most frequent in a sample.  They change
+#: the number of candidates and never what is found.
+SAMPLED, FREQUENT, FREQUENT_MOST = 4000, 5, 100_000
 
 
 def group_keys(h: np.ndarray) -> np.ndarray:
@@ -240,11 +249,39 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def sketched(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
-    """``docs`` with __row, __same (a digest of the words), __fp and __keys."""
+def frequent_shingles(docs: DataFrame, words: int = STAGE_WORDS) -> np.ndarray:
+    """Sorted hashes of the shingles that most rows of a sample have."""
     storage.small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("__row", "__same", "__fp", "__keys", "__text")]
-    added = [StructField("__row", LongType()), StructField("__same", BinaryType()), StructField("__fp", LongType()), StructField("__keys", ArrayType(LongType()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, words)).view(np.int64))], ["h"])
+
+    rows = docs.count()
+    some = docs.select(F.col("text").cast("string")).where(F.lit(rows <= SAMPLED) | (F.pmod(F.xxhash64("text"), F.lit(max(1, rows))) < SAMPLED))
+    found = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(FREQUENT_MOST)
+    return np.sort(np.array([r["h"] for r in found.collect()], np.int64).view(np.uint64))
+
+
+def prefix(h: np.ndarray, frequent: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The first shingles of a text of which any at the similarity has one among its own first."""
+    h = np.unique(h)
+    n = len(h)
+    with np.errstate(over="ignore"):
+        mixed = h * np.uint64(0x9E3779B97F4A7C15)
+    common = np.zeros(n, bool)
+    if len(frequent):
+        common = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
+    return h[np.lexsort((mixed, common))][: max(0, n - ceil(least * n - 1e-9) + 1)].view(np.int64)
+
+
+def sketched(docs: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """``docs`` with __row, __same (a digest of the words), __fp, __keys, __size (distinct shingles) and __prefix."""
+    storage.small_batches(docs.sparkSession)
+    names = [c for c in docs.columns if c not in ADDED]
+    frequent = frequent_shingles(docs, words)
+    added = [StructField("__row", LongType()), StructField("__same", BinaryType()), StructField("__fp", LongType()), StructField("__keys", ArrayType(LongType())), StructField("__size", LongType()), StructField("__prefix", ArrayType(LongType()))]
     schema = StructType([*docs.select(*names).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +290,7 @@ def sketched(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
             texts = batch.column("__text").to_pylist()
             hashes = [shingle_hashes(t, words) for t in texts]
             same = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
-            made = [pa.array(row + np.arange(len(texts))), pa.array(same, pa.binary()), pa.array(np.array([fingerprint_of(h) for h in hashes], np.uint64).astype(np.int64)), pa.array([group_keys(h) for h in hashes], pa.list_(pa.int64()))]
+            made = [pa.array(row + np.arange(len(texts))), pa.array(same, pa.binary()), pa.array(np.array([fingerprint_of(h) for h in hashes], np.uint64).astype(np.int64)), pa.array([group_keys(h) for h in hashes], pa.list_(pa.int64())), pa.array([len(np.unique(h)) for h in hashes], pa.int64()), pa.array([prefix(h, frequent, least) for h in hashes], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *made], [*names, *[f.name for f in added]])
             row += len(texts)
 
@@ -261,7 +298,7 @@ def sketched(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of rows to decide, from group keys and from near fingerprints.
+    """Distinct pairs (a, b) of rows to decide first, from group keys and from near fingerprints.
 
     ``reps`` (row, fp, keys) is on disk.  Everyone in a group is paired with its first and last
     row, and a fingerprint's rows with its first, so pairs grow with the rows and not their square.
@@ -297,22 +334,61 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int = STAGE_WORDS, least:
     return both.mapInArrow(decide, "a long, b long")
 
 
+def shared_prefixes(reps: DataFrame) -> DataFrame:
+    """key, row, size of the prefix shingles that two rows or more have."""
+    filed = reps.select("row", "size", F.explode("prefix").alias("key"))
+    met = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return filed.join(met.hint("merge"), "key", "left_semi")
+
+
+def sharing(shared: DataFrame, roots: DataFrame, least: float, every: bool) -> DataFrame:
+    """Distinct pairs (a, b) of rows of two components that share a prefix shingle and could be similar by size.
+
+    ``shared`` is on disk.  With ``every``, all of them; otherwise those with one row of each
+    shingle, the one whose shingles the most rows share, which in a family of copies is the original.
+    """
+    filed = shared.join(roots.hint("merge"), shared["row"] == roots["node"], "left").select("key", "row", "size", F.coalesce("root", "row").alias("root"))
+    live = filed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("z")).where("r < z").select("key", "n")
+    filed = storage.staged(filed.join(live.hint("merge"), "key"), "live")
+    heavy = filed.groupBy("row").agg(F.sum("n").alias("weight"))
+    hubs = filed.join(heavy.hint("merge"), "row").groupBy("key").agg(F.max(F.struct("weight", "row", "size", "root")).alias("h"))
+    hubs = storage.staged(hubs.select("key", F.col("h.row").alias("x"), F.col("h.size").alias("m"), F.col("h.root").alias("s")), "hubs")
+    fits = lambda m, n: F.least(m, n) >= F.lit(least) * F.greatest(m, n) - F.lit(1e-9)
+    met = filed.join(hubs.hint("merge"), "key").where("root <> s")
+    if every:  # the hub's own component needs no pairs within, so the others ask
+        met = met.select("key", F.col("row").alias("x"), F.col("size").alias("m"), F.col("root").alias("s")).join(filed.hint("merge"), "key").where("root <> s")
+    return met.where(fits(F.col("m"), F.col("size"))).select(F.least("x", "row").alias("a"), F.greatest("x", "row").alias("b")).distinct()
+
+
 def deduplicated(docs: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` of which each group of near copies keeps one: the least (doc_id, row).
 
     Near copies share ``least`` of their distinct word shingles, or are linked by others that do.
     Texts with the same words in the same order are one from the start.
     """
-    names = [c for c in docs.columns if c not in ("__row", "__same", "__fp", "__keys", "__text")]
-    full = storage.staged(sketched(docs.select(*names), words), "sketched")
+    names = [c for c in docs.columns if c not in ADDED]
+    full = storage.staged(sketched(docs.select(*names), words, least), "sketched")
     order = (F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"))
-    reps = full.groupBy("__same").agg(F.min(F.struct(*order, F.col("__fp").alias("fp"), F.col("__keys").alias("keys"))).alias("r")).select("r.*")
+    reps = full.groupBy("__same").agg(F.min(F.struct(*order, F.col("__fp").alias("fp"), F.col("__keys").alias("keys"), F.col("__size").alias("size"), F.col("__prefix").alias("prefix"))).alias("r")).select("r.*")
     reps = storage.staged(reps, "representatives")
-    pairs = storage.staged(candidates(reps), "pairs")
-    asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    texts = full.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text")).join(asked.hint("merge"), "row", "left_semi")
-    texts = storage.staged(texts, "texts")
-    roots = storage.staged(components(similar(pairs, texts, words, least)), "roots")
+    spark = docs.sparkSession
+    known, decided, roots = None, None, spark.createDataFrame([], "node long, root long")
+    shared = storage.staged(shared_prefixes(reps), "shared")
+    for source in (lambda: candidates(reps), lambda: sharing(shared, roots, least, False), lambda: sharing(shared, roots, least, True)):
+        pairs = source()
+        if decided is not None:
+            pairs = pairs.join(decided.hint("merge"), ["a", "b"], "left_anti")
+        pairs = storage.staged(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+        texts = full.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text")).join(asked.hint("merge"), "row", "left_semi")
+        at = storage.new_path(spark, "texts")
+        found = storage.staged(similar(pairs, storage.write_table(texts, at), words, least), "found")
+        storage.drop_table(spark, at)
+        decided = pairs if decided is None else decided.unionByName(pairs)
+        known = found if known is None else known.unionByName(found)
+        roots = storage.staged(components(known), "roots")
     grouped = reps.select("no_id", "doc_id", "row").join(roots.hint("merge"), F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row"))
     stays = storage.staged(grouped.groupBy("root").agg(F.min(F.struct("no_id", "doc_id", "row")).alias("r")).select(F.col("r.row").alias("__row")), "stays")
     # what stays grows with the corpus, so it is never broadcast: the plan is the same at every size
