@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from rillmark.llm import simhash
 
 
@@ -40,3 +43,24 @@ def test_star_family_with_the_original_in_the_middle(spark):
     assert all(similar(t, texts[150]) for t in texts) and not all(similar(texts[0], t) for t in texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     assert [r["doc_id"] for r in simhash.deduplicated(docs).collect()] == [0]
+
+
+def test_short_texts(spark):
+    rng = random.Random(5)
+    texts = []
+    for base in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(8, 40))]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join(words[1:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.deduplicated(docs).collect()} == kept_by_all_pairs(texts)
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 8, 20, 45, 300])
+def test_prefixes_of_similar_sets_meet(n):
+    rng = np.random.default_rng(n)
+    frequent = np.sort(rng.integers(1, 2000, 200).astype(np.uint64))
+    for _ in range(200):
+        a = rng.choice(np.arange(1, 2000), n, replace=False).astype(np.uint64)
+        b = np.concatenate([a[rng.integers(0, n // 5 + 1) :], rng.integers(3000, 10**9, rng.integers(0, n // 5 + 1)).astype(np.uint64)])
+        if simhash.similarity(a, b) >= simhash.SIMILARITY:
+            assert len(np.intersect1d(simhash.prefix(a, frequent), simhash.prefix(b, frequent)))
