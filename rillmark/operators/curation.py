@@ -101,34 +101,38 @@ def round_robin(df: DataFrame, cluster: str, target: int, seed: int, row: str) -
     return ordered.orderBy("round", F.xxhash64(F.col(cluster), F.col("round"), F.lit(seed)), cluster).limit(target)
 
 
-def coverage(heldout: DataFrame, selected: DataFrame, block: int = 2048) -> DataFrame:
-    """Mean over held-out vectors of the greatest cosine to a selected one.
+def coverage(heldout: DataFrame, selected: DataFrame, block: int = 2048, others: bool = False) -> DataFrame:
+    """Mean over held-out vectors of the greatest cosine to a selected one; with ``others``, of another vec_id.
 
     Selected vectors travel as blocks of bytes; a block and a held-out row meet once each.
     """
-    flat = selected.select(unit_rows(F.col("embedding").cast("array<double>")).alias("v")).withColumn("b", F.spark_partition_id())
+    flat = selected.select("vec_id", unit_rows(F.col("embedding").cast("array<double>")).alias("v"))
 
     def gather(batches):
+        ids: list = []
         held: list = []
         for pdf in batches:
+            ids += pdf["vec_id"].tolist()
             held += pdf["v"].tolist()
             while len(held) >= block:
-                yield pd.DataFrame({"n": [block], "data": [np.array(held[:block]).tobytes()]})
-                held = held[block:]
+                yield pd.DataFrame({"n": [block], "of": [np.array(ids[:block], np.int64).tobytes()], "data": [np.array(held[:block]).tobytes()]})
+                ids, held = ids[block:], held[block:]
         if held:
-            yield pd.DataFrame({"n": [len(held)], "data": [np.array(held).tobytes()]})
+            yield pd.DataFrame({"n": [len(held)], "of": [np.array(ids, np.int64).tobytes()], "data": [np.array(held).tobytes()]})
 
-    blocks = flat.select("v").mapInPandas(gather, "n int, data binary")
+    blocks = flat.mapInPandas(gather, "n int, of binary, data binary")
     asked = heldout.select("vec_id", unit_rows(F.col("embedding").cast("array<double>")).alias("v")).groupBy(F.pmod(F.hash("vec_id"), F.lit(64)).alias("part")).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"))
 
     def best(batches):
         for pdf in batches:
-            for ids, vs, n, data in zip(pdf["ids"], pdf["vs"], pdf["n"], pdf["data"], strict=True):
+            for ids, vs, n, of, data in zip(pdf["ids"], pdf["vs"], pdf["n"], pdf["of"], pdf["data"], strict=True):
                 sims = np.stack(vs.tolist() if hasattr(vs, "tolist") else vs) @ np.frombuffer(data).reshape(n, -1).T
+                if others:
+                    sims[np.asarray(ids, np.int64)[:, None] == np.frombuffer(of, np.int64)] = -np.inf
                 yield pd.DataFrame({"vec_id": ids, "best": sims.max(axis=1)})
 
     met = asked.crossJoin(blocks).mapInPandas(best, "vec_id long, best double")
-    return met.groupBy("vec_id").agg(F.max("best").alias("best")).agg(F.avg("best").alias("coverage"))
+    return met.groupBy("vec_id").agg(F.max("best").alias("best")).where(F.col("best") > F.lit(float("-inf"))).agg(F.avg("best").alias("coverage"))
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -405,6 +405,13 @@ def facility_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.coverage(v.where("vec_id % 10 = 0"), v.where("vec_id % 10 = 1")).select(six(F.col("coverage")).alias("coverage"))
 
 
+@register("""WITH v AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings),
+p AS (SELECT a.vec_id, max(list_cosine_similarity(a.e, b.e)) AS best FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY a.vec_id) SELECT round(avg(best), 6) AS coverage FROM p""")
+def facility_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return curation.coverage(v, v, others=True).select(six(F.col("coverage")).alias("coverage"))
+
+
 @register("""SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) = 1""")
 def latest_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.keep_latest(table(spark, sf_dir, "conversations"), "conv_id", F.desc("turn"), F.asc("role")).select("conv_id", "turn", "role")
