@@ -379,6 +379,12 @@ def key_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.key_coverage(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").where("doc_id % 3 = 0"), ["doc_id"])
 
 
+@register("""SELECT coalesce(a.doc_id, e.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'missing' WHEN e.doc_id IS NULL THEN 'unexpected' ELSE 'repeated' END AS problem
+FROM (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) a FULL JOIN (SELECT doc_id, count(*) AS n FROM documents GROUP BY doc_id) e ON a.doc_id = e.doc_id WHERE a.doc_id IS NULL OR e.doc_id IS NULL OR a.n > 1 OR e.n > 1""")
+def key_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.key_coverage(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 @register("SELECT doc_id, (4 * (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // (SELECT count(*) FROM documents))::INT AS quartile FROM documents")
 def length_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")

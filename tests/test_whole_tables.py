@@ -13,3 +13,10 @@ def test_facility_coverage_searches_every_other_row(spark, tmp_path):
     best = (u @ u.T - 9 * np.eye(45)).max(axis=1)
     got = QUERIES["facility_coverage_all"](spark, str(tmp_path)).first()["coverage"]
     assert abs(got - best.mean()) < 2e-6
+
+
+def test_key_coverage_checks_every_document(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in (0, 1, 2, 2, 9)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i,) for i in range(5)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["key_coverage_all"](spark, str(tmp_path)).collect())
+    assert got == [(2, "repeated"), (3, "missing"), (4, "missing"), (9, "unexpected")]
