@@ -441,6 +441,13 @@ def normalised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.normalise_words(F.col("text")).alias("words"))
 
 
+# RE2 knows word borders of ASCII only, so the SQL cuts words from the rest and compares whole ones
+@register(r"""WITH p AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '[\p{L}\p{M}\p{Nd}]+|[^\p{L}\p{M}\p{Nd}]+') AS w FROM documents)
+SELECT doc_id, trim(regexp_replace(array_to_string([CASE WHEN x IN ('a', 'an', 'the') THEN ' ' ELSE x END FOR x IN w], ''), '\s+', ' ', 'g')) AS words FROM p""")
+def normalised_words_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalise_words(F.col("text")).alias("words"))
+
+
 @register("SELECT r_name, CASE WHEN length(r_name) > 5 THEN left(r_name, 2) || right(r_name, 3) ELSE r_name END AS cut FROM region")
 def middle_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     chars = F.filter(F.split("r_name", ""), lambda c: c != "")

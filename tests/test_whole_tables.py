@@ -20,3 +20,9 @@ def test_key_coverage_checks_every_document(spark, tmp_path):
     spark.createDataFrame([(i,) for i in range(5)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in QUERIES["key_coverage_all"](spark, str(tmp_path)).collect())
     assert got == [(2, "repeated"), (3, "missing"), (4, "missing"), (9, "unexpected")]
+
+
+def test_normalised_words_takes_every_language(spark, tmp_path):
+    spark.createDataFrame([(1, "fr", "L'océan  a ÉTÉ, the BLEU"), (2, "en", "The An a: end")], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["normalised_words_all"](spark, str(tmp_path)).collect())
+    assert got == [(1, "locéan été bleu"), (2, "end")]
