@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed in cells of source, language and topic; raking scales the cells until
-their marginals meet the targets, and a document is kept with probability min(1, rate x its cell's
-factor), the rate being solved so that the expected tokens are the stated share of the corpus.
+their marginals meet the targets.  No document is kept more than once, so a category can give no
+more than it has: targets beyond that are cut to it and the rest shared among the others, and the
+cells are raked again with probabilities of 1 at most, until what is kept meets those targets.  The
+expected tokens are the stated share of the corpus; ``marginals`` tells wished, reachable and met.
 The draw is a keyed hash of doc_id and text, so it is the same in every run.
 
 The cell table is small beside the corpus, but nothing bounds it: up to ``CELLS_MOST`` cells it is
@@ -26,6 +28,7 @@ AXES = ("source", "lang", "topic")
 ROUNDS = 50
 TOLERANCE = 1e-9
 CELLS_MOST = 100_000
+WEIGHT_MOST = 1e12
 SHARE = 0.5
 TEMPERATURE = 0.5
 ADDED = ("__source", "__lang", "__topic", "n_tokens", "topic", "weight", "probability", "kept")
@@ -97,6 +100,28 @@ def rate(factor: np.ndarray, tokens: np.ndarray, wanted: float) -> float:
     return float("inf")
 
 
+def reachable(target: np.ndarray, has: np.ndarray, share: float) -> np.ndarray:
+    """Parts of the corpus that categories with masses ``has`` can give, in proportion to ``target`` up to all they have."""
+    want = np.divide(target, has, out=np.zeros(len(has)), where=has > 0)
+    r = rate(want, has, share)
+    return np.where(want > 0, has * np.minimum(1.0, r * np.maximum(want, 1e-300)), 0.0)
+
+
+def rake_capped(cells: np.ndarray, codes: np.ndarray, goals: list[np.ndarray], weight: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of which min(1, weight) brings the cells' marginals (parts of the corpus) to the goals."""
+    mass = cells / max(cells.sum(), 1e-300)
+    for _ in range(rounds):
+        worst = 0.0
+        for code, goal in zip(codes, goals, strict=True):
+            now = np.bincount(code, mass * np.minimum(1.0, weight), len(goal))
+            step = np.divide(goal, now, out=np.zeros(len(goal)), where=now > 0)
+            weight = np.minimum(weight * step[code], WEIGHT_MOST)
+            worst = max(worst, float(np.abs(now - goal).max()))
+        if worst < TOLERANCE:
+            break
+    return weight
+
+
 def _targets(names: list[str], own: dict[str, float] | None, shares: dict[str, float], temperature: float) -> np.ndarray:
     wanted = {("null" if k is None else f"={k}"): v for k, v in own.items()} if own else tempered(shares, temperature)
     out = np.array([max(0.0, wanted.get(n, 0.0)) for n in names])
@@ -120,8 +145,16 @@ def _raked_here(cells: DataFrame, targets: dict, share: float, temperature: floa
         codes.append(code)
         wanted.append(_targets(names, targets.get(axis), dict(zip(names, sums.tolist(), strict=True)), temperature))
     factor = rake(tokens, np.array(codes), wanted, rounds) if rows else np.zeros(0)
-    r = rate(factor, tokens, share * tokens.sum()) if rows else 0.0
-    p = np.where(factor > 0, np.minimum(1.0, r * np.maximum(factor, 1e-300)), 0.0)
+    p = np.zeros(len(rows))
+    if rows and tokens.sum() > 0:
+        has = tokens / tokens.sum()
+        goals = [reachable(t, np.bincount(c, has, len(t)), share) for c, t in zip(codes, wanted, strict=True)]
+        first = min(rate(factor, tokens, share * tokens.sum()), WEIGHT_MOST)
+        w = rake_capped(tokens, np.array(codes), goals, np.minimum(first * factor, WEIGHT_MOST), rounds)
+        r = min(rate(w, tokens, share * tokens.sum()), 1e300)
+        p = np.where(w > 0, np.minimum(1.0, r * np.maximum(w, 1e-300)), 0.0)
+    elif rows:
+        p = np.where(factor > 0, 1.0, 0.0)
     out = [(*[x[f"__{a}"] for a in AXES], float(f), float(q)) for x, f, q in zip(rows, factor, p, strict=True)]
     return cells.sparkSession.createDataFrame(out, "__source string, __lang string, __topic string, weight double, probability double")
 
@@ -151,19 +184,58 @@ def _raked_apart(cells: DataFrame, targets: dict, share: float, temperature: flo
             now = storage.staged(now.join(step, f"__{axis}").withColumn("weight", F.col("weight") * F.col("step")).drop("step"), "cells")
         if worst < TOLERANCE:
             break
-    low, high, wish = 0.0, 1.0, share * total
-    kept = lambda r: now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(r) * F.col("weight")))).first()[0] or 0.0
-    if kept(1e300) <= wish:
-        low = high = 1e300
-    while high < 1e300 and kept(high) < wish:
-        low, high = high, 2 * high
-    for _ in range(44):
-        middle = (low + high) / 2
-        low, high = (middle, high) if kept(middle) < wish else (low, middle)
-    p = F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.lit(high) * F.col("weight"))).otherwise(0.0)
+    first = min(_rate_apart(now, "tokens", "weight", share * total), WEIGHT_MOST)
+    now = now.withColumn("w", F.least(F.lit(first) * F.col("weight"), F.lit(WEIGHT_MOST)))
+    goals = {}
+    for axis in AXES if total else ():
+        has = cells.groupBy(f"__{axis}").agg((F.sum("tokens") / F.lit(float(total))).alias("has")).join(wanted[axis], f"__{axis}", "left")
+        has = storage.staged(has.withColumn("weight", F.when(F.col("has") > 0, F.coalesce("target", F.lit(0.0)) / F.col("has")).otherwise(0.0)), "goals")
+        r = min(_rate_apart(has, "has", "weight", share), 1e300)
+        goals[axis] = has.select(f"__{axis}", F.when(F.col("weight") > 0, F.col("has") * F.least(F.lit(1.0), F.lit(r) * F.col("weight"))).otherwise(0.0).alias("goal"))
+    for _ in range(rounds if total else 0):
+        worst = 0.0
+        for axis in AXES:
+            sums = now.groupBy(f"__{axis}").agg((F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("w"))) / F.lit(float(total))).alias("now"))
+            steps = storage.staged(sums.join(goals[axis], f"__{axis}"), "steps")
+            worst = max(worst, steps.agg(F.max(F.abs(F.col("now") - F.col("goal")))).first()[0] or 0.0)
+            step = steps.select(f"__{axis}", F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0).alias("step"))
+            now = storage.staged(now.join(step, f"__{axis}").withColumn("w", F.least(F.col("w") * F.col("step"), F.lit(WEIGHT_MOST))).drop("step"), "cells")
+        if worst < TOLERANCE:
+            break
+    last = min(_rate_apart(now, "tokens", "w", share * total), 1e300)
+    p = F.when(F.col("w") > 0, F.least(F.lit(1.0), F.lit(last) * F.col("w"))).otherwise(0.0)
     return now.select(*[f"__{a}" for a in AXES], "weight", p.alias("probability"))
 
 
+def _rate_apart(df: DataFrame, mass: str, weight: str, wish: float) -> float:
+    """``rate`` over a table on disk: Newton's steps from below, exact on a concave broken line."""
+    r = 0.0
+    for _ in range(100):
+        over = F.lit(r) * F.col(weight) >= 1
+        row = df.where(F.col(weight) > 0).agg(F.sum(F.when(over, F.col(mass)).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col(mass) * F.col(weight)))).first()
+        full, part = row[0] or 0.0, row[1] or 0.0
+        if part <= 0:
+            return float("inf") if full <= wish else r
+        to = (wish - full) / part
+        if to <= r * (1 + 1e-14):
+            return max(r, 0.0)
+        r = to
+    return r
+
+
+def marginals(mixed: DataFrame, targets: dict[str, dict] | None = None, temperature: float = TEMPERATURE, share: float = SHARE) -> DataFrame:
+    """axis, category, target, reachable, expected: shares of the kept tokens wished, possible by axis, and met by ``mix``."""
+    out = []
+    for axis in AXES:
+        rows = mixed.groupBy(axis).agg(F.sum("n_tokens").cast("double").alias("t"), F.sum(F.col("n_tokens") * F.col("probability")).alias("k")).collect()
+        names = ["null" if r[axis] is None else f"={r[axis]}" for r in rows]
+        has, kept = (np.array([r[c] for r in rows]) for c in ("t", "k"))
+        wish = _targets(names, (targets or {}).get(axis), dict(zip(names, has.tolist(), strict=True)), temperature)
+        goal = reachable(wish, has / max(has.sum(), 1e-300), share) if rows else wish
+        out += [(axis, r[axis], float(w), float(g / (goal.sum() or 1)), float(k / (kept.sum() or 1))) for r, w, g, k in zip(rows, wish, goal, kept, strict=True)]
+    return mixed.sparkSession.createDataFrame(out, "axis string, category string, target double, reachable double, expected double")
+
+
 def mix(docs: DataFrame, targets: dict[str, dict] | None = None, share: float = SHARE, temperature: float = TEMPERATURE, seed: int = 11, cells_most: int = CELLS_MOST, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with n_tokens, topic, weight, probability and kept.
 
