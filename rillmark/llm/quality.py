@@ -2,9 +2,11 @@
 
 A word is its hashed id and the hashed character n-grams of ``<word>``; a document is the mean of
 its features' learned vectors; a softmax layer gives the class.  Vectors and layer are trained by
-stochastic gradient descent in numpy on a bounded sample of labelled rows (``TRAIN_DOCS`` rows of
-up to ``TRAIN_CHARS`` characters, those with the least hash of doc_id).  Scoring takes whole texts:
-the mean commutes with the layer, so each distinct word adds one number and its count of features.
+stochastic gradient descent in numpy on a bounded sample of labelled rows: the ``TRAIN_DOCS`` rows
+of ``labels`` with the least hash of doc_id, with their whole texts.  Texts become bags of features
+where they are, and one task trains on the sample's bags, so neither passes through the driver,
+which gets the fitted numbers alone.  Scoring takes whole texts: the mean commutes with the layer,
+so each distinct word adds one number and its count of features.
 
 Defined cases: a null or empty text scores the prior (the layer's bias); labels that are null or
 not 0 or 1, and rows of fold 2, are not learned from; without any learnable label, or with one
@@ -25,7 +27,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rillmark.llm import storage
 
-TRAIN_DOCS, TRAIN_CHARS = 5000, 20_000
+TRAIN_DOCS = 5000
 BUCKETS, DIMENSIONS = 1 << 16, 12
 EPOCHS, RATE, LOSS_SMOOTHING = 4, 0.5, 0.02
 NGRAMS = (3, 4)
@@ -78,18 +80,27 @@ class WordShares(dict):
         return out
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
-    """Stochastic gradient descent over documents, in a fixed random order."""
+def bag(text: str | None, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of a whole text and how often each occurs."""
+    ids = []
+    for word in words(text):
+        own = known.get(word)
+        if own is None:
+            if len(known) >= WORDS_KEPT // 4:
+                known.clear()
+            own = known[word] = features(word).astype("<i4")
+        ids.append(own)
+    found, counts = np.unique(np.concatenate(ids) if ids else np.zeros(0, "<i4"), return_counts=True)
+    return found.astype("<i4"), counts.astype("<i4")
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> Model:
+    """Stochastic gradient descent over documents' bags, in a fixed random order."""
     y = np.asarray(labels, np.int64)
     share = (y.sum() + 1) / (len(y) + 2)
     prior = float(np.log(share / (1 - share)))
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), prior)
-    known: dict[str, np.ndarray] = {}
-    bags = []
-    for text in texts:
-        ids = [known[w] if w in known else known.setdefault(w, features(w)) for w in words(text)]
-        bags.append(np.unique(np.concatenate(ids) if ids else np.zeros(0, np.int64), return_counts=True))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     layer, bias = np.zeros((2, DIMENSIONS)), np.array([-prior / 2, prior / 2])
@@ -119,13 +130,33 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, seed: int = 7) -> Model:
     """Train on the bounded sample of labelled rows outside the held-out fold."""
+    storage.small_batches(docs.sparkSession)
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).distinct()
     known = known.orderBy(order, "doc_id", "y").limit(sample)  # so many rows at most: small enough to broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= TRAIN_CHARS)
-    rows = texts.join(F.broadcast(known), "doc_id").orderBy(order, "doc_id", "y", F.xxhash64("text")).limit(sample).collect()
-    return train([r["text"] for r in rows], [r["y"] for r in rows], seed)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(known), "doc_id").select(order.alias("at"), "doc_id", "y", "text")
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                ids, counts = bag(text, seen)
+                own = [batch.column(n)[i : i + 1] for n in ("at", "doc_id", "y")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([ids.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["at", "doc_id", "y", "ids", "counts"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((r["at"], r["doc_id"], r["y"], r["ids"], r["counts"]) for batch in batches for r in batch.to_pylist())[:sample]
+        model = train([(np.frombuffer(i, "<i4"), np.frombuffer(c, "<i4")) for *_, i, c in held], [r[2] for r in held], seed)
+        yield pa.RecordBatch.from_arrays([pa.array([model.share.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], ["share", "bias"])
+
+    # the sample is bounded by its parameter, so one task holds it
+    sampled = rows.mapInArrow(bags, "at long, doc_id long, y int, ids binary, counts binary").repartition(1)
+    got = sampled.mapInArrow(learn, "share binary, bias double").first()
+    if got is None:  # nothing to learn from
+        return train([], [], seed)
+    return Model(np.frombuffer(got["share"], "<f4"), got["bias"])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
