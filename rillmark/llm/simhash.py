@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -33,6 +33,7 @@ from rillmark.llm import storage
 SHINGLE_WORDS = 3
 SEED = 42
 GROUP_MOST = 4096
+CONTRACTED = 1 << 18
 _BLOCK = 1 << 15
 
 
@@ -113,15 +114,16 @@ def near_links(fps: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def links(fps: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
+def links(fps: DataFrame, scratch: storage.Scratch, group_most: int = GROUP_MOST) -> DataFrame:
     """Verified links (a, b), enough to connect all that two bits or fewer connect.
 
     ``fps`` has distinct values in column fp and is on disk.
     """
     spark = fps.sparkSession
     storage.small_batches(spark)
-    filed = fps.withColumn("z", F.explode(grid_points(segment_counts(F.col("fp")))))
-    groups = storage.staged(filed.groupBy("z").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "grid")
+    spread = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # each row becomes up to 33
+    filed = spread.withColumn("z", F.explode(grid_points(segment_counts(F.col("fp")))))
+    groups = scratch.staged(filed.groupBy("z").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "grid")
     pairs = groups.where("n = 2 and bit_count(a ^ b) <= 2").select("a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,17 +143,52 @@ def links(fps: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     return out.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def local_stars(u: np.ndarray, v: np.ndarray, root: dict[int, int]) -> None:
+    """Union-find: ``root`` leads every node of the edges to the least node that they connect it with."""
+
+    def find(k: int) -> int:
+        top = k
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[k] != top:
+            root[k], k = top, root[k]
+        return top
+
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+
+
+def components(edges: DataFrame, scratch: storage.Scratch) -> DataFrame:
     """node, root of every node that has an edge (a, b); root is the least node of its component.
 
-    Alternating large-star and small-star steps; each round is written out, so lineage stays short.
+    Tasks of ``CONTRACTED`` edges each contract theirs to stars first; where there were several,
+    large-star and small-star steps alternate until nothing changes, each round written out, so
+    lineage stays short.  A hub's edges are never gathered: its least neighbour is a grouped
+    minimum, and goes back to them by ``storage.joined``.
     """
     spark = edges.sparkSession
+    edges = scratch.staged(edges.select("a", "b").where("a <> b"), "links")
+    tasks = -(-max(1, edges.count()) // CONTRACTED)
 
-    def stars(pairs: DataFrame, larger: bool) -> DataFrame:
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+        for batch in batches:
+            local_stars(batch.column(0).to_numpy(), batch.column(1).to_numpy(), root)
+        nodes = np.fromiter(root, np.int64, len(root))
+        tops = np.empty(len(nodes), np.int64)
+        for i, k in enumerate(nodes.tolist()):
+            while root[k] != k:
+                k = root[k]
+            tops[i] = k
+        some = nodes != tops
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(tops[some])], ["u", "v"])
+
+    def stars(pairs: DataFrame, larger: bool, total: int) -> DataFrame:
         about = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger else pairs
-        least = about.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        met = about.join(least, "u")
+        least = about.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        met = storage.joined(about, least, "u", "n", total)
         if larger:
             out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -163,30 +200,33 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     at = storage.new_path(spark, "edges")
-    now = storage.write_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), at)
-    seen = state(at)
+    contracted = edges.repartition(tasks).mapInArrow(contract, "u long, v long")
+    now = storage.write_table(contracted.distinct() if tasks > 1 else contracted, at)
+    seen = state(at) if tasks > 1 else (0,)
     while seen[0]:
         to = storage.new_path(spark, "edges")
-        new = storage.write_table(stars(stars(now, True), False), to)
+        new = storage.write_table(stars(stars(now, True, 2 * seen[0]), False, seen[0]), to)
         was, seen = seen, state(to)
         storage.drop_table(spark, at)
         now, at = new, to
         if was == seen:
             break
+    scratch.paths.append(at)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def groups(prints: DataFrame) -> DataFrame:
     """Add component_id to rows (doc_id, fp, ...) that are on disk: the least doc_id reachable."""
-    known = storage.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(known.select("fp")))
-    rooted = known.join(roots, known["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = storage.staged(rooted, "rooted")
-    joined = rooted.where("root <> fp").select("root").distinct()
-    names = rooted.join(joined, "root").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    named = storage.staged(named, "named")
-    return prints.join(named, "fp")
+    scratch = storage.Scratch(prints.sparkSession)
+    known = scratch.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    size = known.agg(F.count("*"), F.sum("n")).first()
+    roots = components(links(known.select("fp"), scratch), scratch)
+    rooted = known.join(roots.hint("merge"), known["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = scratch.staged(rooted, "rooted")
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
+    named = storage.staged(storage.joined(rooted, names, "root", "prints", size[0]).select("fp", "n", "component_id"), "named")
+    scratch.drop()
+    return storage.joined(prints, named, "fp", "n", size[1] or 0)
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -198,50 +238,20 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 # ---- near copies by similarity
 #
 # Two texts that share four fifths of their five-word shingles often differ in more than two bits:
-# at one edit in forty words, most do.  So the stage has a second source of candidates, hashes of
-# small groups of shingles, whose links join most near copies at little cost.  What they leave is
-# found by prefixes: in any one order of all shingles, two texts at the similarity share one among
-# the first n - ceil(similarity x n) + 1 of each.  Every two rows that share one and are not yet in
-# one component are decided, so no pair is missed at any length, and every candidate, of any
+# at one edit in forty words, most do.  So the links of the fingerprints are the first source of
+# candidates, and prefixes are the second: in any one order of all shingles, two texts at the
+# similarity share one among the first n - ceil(similarity x n) + 1 of each.  How many they share
+# there bounds how many they share at all, so most pairs that have only a passage in common are
+# ruled out without their texts.  No pair is missed at any length, and every candidate, of either
 # source, is decided on the shingles.
 
-ADDED = ("__row", "__same", "__fp", "__keys", "__size", "__prefix", "__text")
+ADDED = ("__row", "__same", "__fp", "__size", "__prefix", "__text")
 STAGE_WORDS, SIMILARITY = 5, 0.8
-GROUPS_KEPT, GROUP_BITS = 40, 2
 #: Shingles that come last in the order of prefixes: the most frequent in a sample.  They change
 #: the number of candidates and never what is found.
 SAMPLED, FREQUENT, FREQUENT_MOST = 4000, 5, 100_000
 
 
-def group_keys(h: np.ndarray) -> np.ndarray:
-    """Keys of groups of about 4 to 8 distinct shingles, dealt by hash; ``GROUPS_KEPT`` at most a size.
-
-    A group is intact in both of two texts with probability 0.8^6 or so, and there are forty.  The
-    number of groups follows the power of two below the text's number of shingles; texts that could
-    resemble one on the other side of such a border get the keys of both sides.
-    """
-    h = np.unique(h)
-    n = len(h)
-    if not n:
-        return np.zeros(0, np.int64)
-    c = n.bit_length() - 1
-    sides = {c} | ({c - 1} if c and n * SIMILARITY < 1 << c else set()) | ({c + 1} if n > SIMILARITY * (2 << c) else set())
-    with np.errstate(over="ignore"):
-        mixed = h * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(32)
-        out = []
-        for side in sorted(sides):
-            count = np.uint64(1 << max(0, side - GROUP_BITS))
-            group = mixed % count
-            some = group < GROUPS_KEPT
-            ids, place = np.unique(group[some], return_inverse=True)
-            sums = np.zeros(len(ids), np.uint64)
-            np.add.at(sums, place, mixed[some] * np.uint64(0xD1B54A32D192ED03))
-            key = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + ids * np.uint64(64) + np.uint64(side)
-            out.append(key ^ (key >> np.uint64(31)))
-        return np.unique(np.concatenate(out)).astype(np.int64)
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Share of the distinct shingles of either that both have; two texts without any are alike."""
     a, b = np.unique(a), np.unique(b)
@@ -261,7 +271,7 @@ def frequent_shingles(docs: DataFrame, words: int = STAGE_WORDS) -> np.ndarray:
     rows = docs.count()
     some = docs.select(F.col("text").cast("string")).where(F.lit(rows <= SAMPLED) | (F.pmod(F.xxhash64("text"), F.lit(max(1, rows))) < SAMPLED))
     found = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(FREQUENT_MOST)
-    return np.sort(np.array([r["h"] for r in found.collect()], np.int64).view(np.uint64))
+    return np.sort(found.select("h").toArrow().column("h").to_numpy().view(np.uint64))
 
 
 def prefix(h: np.ndarray, frequent: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
@@ -277,11 +287,11 @@ def prefix(h: np.ndarray, frequent: np.ndarray, least: float = SIMILARITY) -> np
 
 
 def sketched(docs: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with __row, __same (a digest of the words), __fp, __keys, __size (distinct shingles) and __prefix."""
+    """``docs`` with __row, __same (a digest of the words), __fp, __size (distinct shingles) and __prefix."""
     storage.small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ADDED]
     frequent = frequent_shingles(docs, words)
-    added = [StructField("__row", LongType()), StructField("__same", BinaryType()), StructField("__fp", LongType()), StructField("__keys", ArrayType(LongType())), StructField("__size", LongType()), StructField("__prefix", ArrayType(LongType()))]
+    added = [StructField("__row", LongType()), StructField("__same", BinaryType()), StructField("__fp", LongType()), StructField("__size", LongType()), StructField("__prefix", ArrayType(LongType()))]
     schema = StructType([*docs.select(*names).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,106 +300,132 @@ def sketched(docs: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARIT
             texts = batch.column("__text").to_pylist()
             hashes = [shingle_hashes(t, words) for t in texts]
             same = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
-            made = [pa.array(row + np.arange(len(texts))), pa.array(same, pa.binary()), pa.array(np.array([fingerprint_of(h) for h in hashes], np.uint64).astype(np.int64)), pa.array([group_keys(h) for h in hashes], pa.list_(pa.int64())), pa.array([len(np.unique(h)) for h in hashes], pa.int64()), pa.array([prefix(h, frequent, least) for h in hashes], pa.list_(pa.int64()))]
+            made = [pa.array(row + np.arange(len(texts))), pa.array(same, pa.binary()), pa.array(np.array([fingerprint_of(h) for h in hashes], np.uint64).astype(np.int64)), pa.array([len(np.unique(h)) for h in hashes], pa.int64()), pa.array([prefix(h, frequent, least) for h in hashes], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *made], [*names, *[f.name for f in added]])
             row += len(texts)
 
     return docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of rows to decide first, from group keys and from near fingerprints.
+def near_prints(reps: DataFrame, scratch: storage.Scratch) -> DataFrame:
+    """Pairs (a, b) of rows whose fingerprints are alike or linked: a fingerprint's rows with its first, and firsts.
 
-    ``reps`` (row, fp, keys) is on disk.  Everyone in a group is paired with its first and last
-    row, and a fingerprint's rows with its first, so pairs grow with the rows and not their square.
+    ``reps`` (row, fp) is on disk.
     """
-    filed = reps.select("row", F.explode("keys").alias("key"))
-    ends = filed.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("z")).where("a < z")
-    met = filed.join(ends.hint("merge"), "key")
-    pairs = met.select(F.explode(F.array(F.struct("a", F.col("row").alias("b")), F.struct(F.col("row").alias("a"), F.col("z").alias("b")))).alias("p")).select("p.*")
-    first = storage.staged(reps.groupBy("fp").agg(F.min("row").alias("first")), "prints")
-    alike = reps.select("fp", "row").join(first.hint("merge"), "fp").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    near = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")).hint("merge"), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")).hint("merge"), "b")
+    first = scratch.staged(reps.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("n")), "prints")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    alike = storage.joined(reps.select("fp", "row"), first.where("n > 1"), "fp", "n", total).select(F.col("first").alias("a"), F.col("row").alias("b"))
+    near = links(first.select("fp"), scratch).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")).hint("merge"), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")).hint("merge"), "b")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return pairs.unionByName(alike).unionByName(near).where("a <> b").distinct()
+    return alike.unionByName(near).where("a <> b").distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARITY) -> DataFrame:
-    """The pairs whose texts (row, text) share ``least`` of their shingles."""
+    """The pairs (a, b), both on disk, whose texts (row, text) share ``least`` of their shingles.
+
+    A row ``a`` of many pairs sends its text once to each of the tasks that decide them, not once a
+    pair: the pairs of a heavy row are dealt over as many salts as it has shares of the whole.
+    """
     spark = pairs.sparkSession
     storage.small_batches(spark)
+    total = pairs.count()
+    share = max(1, total // storage.HEAVY_MOST)
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(share)).alias("salts"))
+    heavy = F.broadcast(hubs.where("salts > 1"))  # HEAVY_MOST rows at most
+    asks = pairs.join(heavy, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt"), "b")
+    asks = asks.join(texts.hint("merge"), asks["b"] == texts["row"]).select("a", "salt", "b", "text")
+    first = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    first = first.join(texts.hint("merge"), first["a"] == texts["row"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    dealt = first.unionByName(asks).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, hub = None, None
         for batch in batches:
-            last, known, keep = None, None, []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x != last:
-                    last, known = x, np.unique(shingle_hashes(x, words))
-                keep.append(similarity(known, shingle_hashes(y, words)) >= least)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found: list[tuple[int, int]] = []
+            for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text")), strict=True):
+                if b is None:
+                    hub, known = a, np.unique(shingle_hashes(text, words))
+                elif hub == a and similarity(known, shingle_hashes(text, words)) >= least:
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    left = texts.select(F.col("row").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("row").alias("b"), F.col("text").alias("y"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(decide, "a long, b long")
+    return dealt.mapInArrow(decide, "a long, b long")
 
 
 def shared_prefixes(reps: DataFrame) -> DataFrame:
-    """key, row, size of the prefix shingles that two rows or more have."""
-    filed = reps.select("row", "size", F.explode("prefix").alias("key"))
-    met = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return filed.join(met.hint("merge"), "key", "left_semi")
+    """key, row, size, n of the prefix shingles that n > 1 rows have; one shuffle of all prefixes."""
+    filed = reps.select(F.explode("prefix").alias("key"), "row", F.col("size").cast("int").alias("size"))
+    return filed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+
 
+def possible(m: Column, n: Column, shared: Column, least: float) -> Column:
+    """Whether texts of m and n shingles that share so many in their prefixes can reach the similarity.
 
-def sharing(shared: DataFrame, roots: DataFrame, least: float, every: bool) -> DataFrame:
-    """Distinct pairs (a, b) of rows of two components that share a prefix shingle and could be similar by size.
+    The prefix that ends first holds all that is shared up to its end; beyond it that text has
+    ceil(least x its size) - 1 shingles, which may all be shared.
+    """
+    beyond = F.ceil(F.lit(least) * F.greatest(m, n) - F.lit(1e-9)) - 1
+    sizes = F.least(m, n) >= F.lit(least) * F.greatest(m, n) - F.lit(1e-9)
+    return sizes & (shared + beyond >= F.lit(least / (1 + least)) * (m + n) - F.lit(1e-6))
+
+
+def sharing(shared: DataFrame, total: int, roots: DataFrame, least: float, every: bool, scratch: storage.Scratch) -> DataFrame:
+    """Pairs (a, b) of rows of two components that share prefix shingles and could be similar by sizes and number shared.
 
-    ``shared`` is on disk.  With ``every``, all of them; otherwise those with one row of each
-    shingle, the one whose shingles the most rows share, which in a family of copies is the original.
+    ``shared`` (``total`` rows) is on disk.  With ``every``, all of them; otherwise of each shingle
+    only those with one row, the one whose shingles the most rows share, which in a family of
+    copies is the original: a cheap pass that joins most, so that few are left to meet each other.
+    ``a`` is the row of the greater weight.
     """
-    filed = shared.join(roots.hint("merge"), shared["row"] == roots["node"], "left").select("key", "row", "size", F.coalesce("root", "row").alias("root"))
-    live = filed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("z")).where("r < z").select("key", "n")
-    filed = storage.staged(filed.join(live.hint("merge"), "key"), "live")
-    heavy = filed.groupBy("row").agg(F.sum("n").alias("weight"))
-    hubs = filed.join(heavy.hint("merge"), "row").groupBy("key").agg(F.max(F.struct("weight", "row", "size", "root")).alias("h"))
-    hubs = storage.staged(hubs.select("key", F.col("h.row").alias("x"), F.col("h.size").alias("m"), F.col("h.root").alias("s")), "hubs")
-    fits = lambda m, n: F.least(m, n) >= F.lit(least) * F.greatest(m, n) - F.lit(1e-9)
-    met = filed.join(hubs.hint("merge"), "key").where("root <> s")
+    rooted = shared.join(roots.hint("merge"), shared["row"] == roots["node"], "left").select("key", "row", "size", "n", F.coalesce("root", "row").alias("root"))
+    rooted = scratch.staged(rooted, "rooted")
+    live = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("r"), F.max("root").alias("z")).where("r < z").select("key", F.col("rows").alias("many"), "rows")
+    filed = scratch.staged(storage.joined(rooted.drop("n"), scratch.staged(live, "keys"), "key", "many", total), "live")
+    filed = scratch.staged(filed.join(filed.groupBy("row").agg(F.sum("rows").alias("weight")).hint("merge"), "row"), "weighed")
+    hubs = filed.groupBy("key").agg(F.max(F.struct("weight", "row", "size", "root")).alias("h"), F.count("*").alias("many"))
+    hubs = scratch.staged(hubs.select("key", "many", F.col("h.row").alias("x"), F.col("h.size").alias("m"), F.col("h.root").alias("s"), F.col("h.weight").alias("w")), "hubs")
+    met = storage.joined(filed.drop("rows"), hubs, "key", "many", total).where("root <> s")
     if every:  # the hub's own component needs no pairs within, so the others ask
-        met = met.select("key", F.col("row").alias("x"), F.col("size").alias("m"), F.col("root").alias("s")).join(filed.hint("merge"), "key").where("root <> s")
-    return met.where(fits(F.col("m"), F.col("size"))).select(F.least("x", "row").alias("a"), F.greatest("x", "row").alias("b")).distinct()
+        met = met.select("key", F.col("row").alias("x"), F.col("size").alias("m"), F.col("root").alias("s"), F.col("weight").alias("w"), F.col("s").alias("h")).join(filed.drop("rows").hint("merge"), "key").where("root <> s")
+    heavier = (F.col("w") > F.col("weight")) | ((F.col("w") == F.col("weight")) & (F.col("x") >= F.col("row")))
+    ends = F.when(heavier, F.struct(F.col("x").alias("a"), F.col("row").alias("b"))).otherwise(F.struct(F.col("row").alias("a"), F.col("x").alias("b")))
+    if every:  # where both ask, the heavier one does
+        met = met.where(heavier | (F.col("root") == F.col("h")))
+    met = met.where(F.least("m", "size") >= F.lit(least) * F.greatest("m", "size") - F.lit(1e-9))
+    pairs = met.select(ends.alias("p"), F.least("m", "size").alias("m"), F.greatest("m", "size").alias("size")).groupBy("p.a", "p.b", "m", "size").agg(F.count("*").alias("shared"))
+    return pairs.where(possible(F.col("m"), F.col("size"), F.col("shared"), least)).select("a", "b")
 
 
 def deduplicated(docs: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` of which each group of near copies keeps one: the least (doc_id, row).
 
     Near copies share ``least`` of their distinct word shingles, or are linked by others that do.
-    Texts with the same words in the same order are one from the start.
+    Texts with the same words in the same order are one from the start; so are all null, empty and
+    blank texts.  A null doc_id comes after all others, equal ones are told apart by their place.
+    An empty table stays empty; other columns are kept, but for those named in ``ADDED``.
     """
     names = [c for c in docs.columns if c not in ADDED]
+    spark = docs.sparkSession
     full = storage.staged(sketched(docs.select(*names), words, least), "sketched")
+    kept, scratch = storage.Scratch(spark), storage.Scratch(spark)
     order = (F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"))
-    reps = full.groupBy("__same").agg(F.min(F.struct(*order, F.col("__fp").alias("fp"), F.col("__keys").alias("keys"), F.col("__size").alias("size"), F.col("__prefix").alias("prefix"))).alias("r")).select("r.*")
-    reps = storage.staged(reps, "representatives")
-    spark = docs.sparkSession
-    known, decided, roots = None, None, spark.createDataFrame([], "node long, root long")
-    shared = storage.staged(shared_prefixes(reps), "shared")
-    for source in (lambda: candidates(reps), lambda: sharing(shared, roots, least, False), lambda: sharing(shared, roots, least, True)):
-        pairs = source()
-        if decided is not None:
-            pairs = pairs.join(decided.hint("merge"), ["a", "b"], "left_anti")
-        pairs = storage.staged(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-        texts = full.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text")).join(asked.hint("merge"), "row", "left_semi")
-        at = storage.new_path(spark, "texts")
-        found = storage.staged(similar(pairs, storage.write_table(texts, at), words, least), "found")
-        storage.drop_table(spark, at)
-        decided = pairs if decided is None else decided.unionByName(pairs)
-        known = found if known is None else known.unionByName(found)
-        roots = storage.staged(components(known), "roots")
+    first = full.groupBy("__same").agg(F.min(F.struct(*order)).alias("r")).select(F.col("r.row").alias("__row"))
+    reps = full.join(first.hint("merge"), "__row", "left_semi").select(*order, F.col("__fp").alias("fp"), F.col("__size").alias("size"), F.col("__prefix").alias("prefix"))
+    reps = kept.staged(reps, "representatives")
+    roots = spark.createDataFrame([], "node long, root long")
+    shared = kept.staged(shared_prefixes(reps), "shared")
+    total = shared.count()
+    for source in (lambda: near_prints(reps, scratch), lambda: sharing(shared, total, roots, least, False, scratch), lambda: sharing(shared, total, roots, least, True, scratch)):
+        pairs = scratch.staged(source(), "pairs")
+        if not pairs.isEmpty():
+            asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+            texts = full.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text")).join(asked.hint("merge"), "row", "left_semi")
+            found = scratch.staged(similar(pairs, scratch.staged(texts, "texts"), words, least), "found")
+            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
+            roots = kept.staged(components(known, scratch), "roots")
+        scratch.drop()
     grouped = reps.select("no_id", "doc_id", "row").join(roots.hint("merge"), F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row"))
     stays = storage.staged(grouped.groupBy("root").agg(F.min(F.struct("no_id", "doc_id", "row")).alias("r")).select(F.col("r.row").alias("__row")), "stays")
+    kept.drop()
     # what stays grows with the corpus, so it is never broadcast: the plan is the same at every size
     return full.join(stays.hint("merge"), "__row", "left_semi").select(*names)
