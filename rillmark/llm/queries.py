@@ -48,7 +48,7 @@ def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymised_documents(_table(spark, sf_dir, "documents"))
+    return surrogates.pseudonymised_documents(_table(spark, sf_dir, "documents"), surrogates.session_key(spark))
 
 
 def op10_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
