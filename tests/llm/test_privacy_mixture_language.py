@@ -1,13 +1,17 @@
+import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rillmark.llm import language, mixture, packing, simhash, storage, surrogates
+from rillmark.llm import language, mixture, packing, queries, secrets, simhash, storage, surrogates
 
 SF = "/root/testdata/sf0.001"
+KEY = b"a key of the tests"
 
 # ---- surrogates
 
@@ -23,17 +27,17 @@ def test_surrogates_keep_type_and_format():
     for kind, text in [
         ("email", "jane.doe-99@mail5.example.com"), ("phone", "+1 (743) 555-3824"), ("ip", "8.196.197.208"), ("national_id", "123-45-6789"), ("card", "4539 1488 0343 6467"), ("card", "4785380592391139"), ("person", "Анна Петрова"), ("person", "Maria Étienne"),
     ]:
-        out = surrogates.surrogate(kind, text)
-        assert out != text and out == surrogates.surrogate(kind, text) != surrogates.surrogate(kind, text, b"other key")
-        if kind != "ip":
+        out = surrogates.surrogate(kind, text, KEY)
+        assert out != text and out == surrogates.surrogate(kind, text, KEY) != surrogates.surrogate(kind, text, b"other key")
+        if kind not in ("ip", "person"):
             assert len(out) == len(text) and all((a.isdigit(), a.isupper(), a.islower()) == (b.isdigit(), b.isupper(), b.islower()) for a, b in zip(text, out, strict=True))
         if kind == "card":
             assert surrogates.luhn(out.replace(" ", "")) == surrogates.luhn(text.replace(" ", ""))
         if kind == "person":
-            assert [w[-1] for w in out.split()] == [w[-1] for w in text.split()]
+            assert all(a[-1] == b[-1] or b in surrogates.LISTED for a, b in zip(out.split(), text.split(), strict=True))
         else:
             assert [(s, e, k) for s, e, k in surrogates.find(f"x {out} y")] == [(2, 2 + len(out), kind)]
-    iban = surrogates.surrogate("iban", "DE89 3704 0044 0532 0130 00").replace(" ", "")
+    iban = surrogates.surrogate("iban", "DE89 3704 0044 0532 0130 00", KEY).replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
@@ -42,14 +46,81 @@ def test_surrogates_are_distinct():
     ips = {f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(3)}.{rng.randrange(256)}" for _ in range(4000)}
     names = {a + b + "a" for a in ("Ann", "Ber", "Cla") for b in ("a", "e", "ik", "ul", "or")}
     for kind, values in (("ip", ips), ("person", names), ("phone", {f"+1 (555) 555-{i:04}" for i in range(3000)})):
-        assert len({surrogates.surrogate(kind, v) for v in values}) == len(values)
+        assert len({surrogates.surrogate(kind, v, KEY) for v in values}) == len(values)
+
+
+def test_one_surrogate_for_every_writing():
+    for kind, writings in {
+        "card": ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"],
+        "phone": ["+1 (555) 123-4567", "+1-555-123-4567", "(555) 123-4567", "555-123-4567"],
+        "email": ["Jane.Doe@Mail.example.org", "jane.doe@mail.example.org"],
+        "iban": ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
+    }.items():
+        out = [surrogates.surrogate(kind, w, KEY) for w in writings]
+        assert len({surrogates.canonical(kind, x) for x in out}) == 1
+        shape = lambda t: "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in t)
+        assert kind == "iban" or [shape(x) for x in out] == [shape(w) for w in writings]
+
+
+def test_names_keep_gender_and_script():
+    for (script, gender), names in surrogates.GIVEN.items():
+        own = names.split()
+        images = [surrogates.name_word(w, KEY) for w in own]
+        assert sorted(images) == sorted(own) and all(a != b for a, b in zip(own, images, strict=True)), (script, gender)
+    text = "Anna Smith met Peter Jones; Anna Kowalska and the Summer School did not."
+    out, entities = surrogates.replaced(text, KEY)
+    assert [k for k, *_ in entities] == ["person"] * 3
+    assert out.split()[0] == out.split("; ")[1].split()[0] != "Anna" and out.endswith("and the Summer School did not.")
+
+
+def brute_force(text):
+    """All matches of all kinds, by kind and place, each kept if it meets none kept before."""
+    kept = []
+    for kind, pattern in surrogates._PATTERNS.items():
+        for m in pattern.finditer(text or ""):
+            s, e = m.span(m.lastindex) if kind == "person" else m.span()
+            if all(e <= a or b <= s for a, b, _ in kept):
+                kept.append((s, e, kind))
+    return sorted(kept)
+
+
+def test_op9_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spark.conf.set("spark.rillmark.surrogateKey", "test")
+    got = {r["doc_id"]: r for r in queries.op9_keyed_surrogates(spark, SF).collect()}
+    key = hashlib.blake2b(b"0", key=surrogates.session_key(spark)[:64]).digest()
+    rows = docs.collect()
+    assert len(got) == len(rows) and sum(r["n_entities"] for r in got.values()) > 20
+    for r in rows:
+        spans, text = brute_force(r["text"]), r["text"]
+        assert got[r["doc_id"]]["n_entities"] == len(spans)
+        assert all(got[r["doc_id"]][f"n_{k}"] == sum(x == k for *_, x in spans) for k in surrogates.KINDS)
+        for s, e, kind in reversed(spans):
+            text = text[:s] + surrogates.surrogate(kind, text[s:e], key) + text[e:]
+        assert got[r["doc_id"]]["text"] == text
+
+
+def test_very_long_texts_are_linear():
+    text = " ".join(f"a{i}@b.org 10.0.{i % 256}.{i // 256}" for i in range(20_000))
+    began = time.perf_counter()
+    assert len(surrogates.find(text)) == 40_000
+    base = [(i, 0, i + 5) for i in range(0, 400_000, 10)]
+    assert secrets.outside([(i + 5, 3, i + 9) for i in range(0, 400_000, 10)] + [(400_001, 3, 400_002)], base)[-1][0] == 400_001
+    assert time.perf_counter() - began < 6
+
+
+def test_a_key_is_needed(spark):
+    with pytest.raises(TypeError):
+        surrogates.surrogate("ip", "1.2.3.4")
+    spark.conf.unset("spark.rillmark.surrogateKey")
+    assert surrogates.session_key(spark) == surrogates.session_key(spark)
 
 
 def test_documents(spark):
     text = "Mrs Anna Smith wrote from x.72@mail3.example.com, +1 (729) 555-7725 190.55.3.2 and 4952935900253052$$$ to Mr. Smith"
     clean = "Version 4.0. of 12345 in 1eb9c654e721b4f812088970e66a6345cee33dd6; see 3.14 and 2.0.1"
     docs = spark.createDataFrame([(1, text, 5), (2, clean, 6), (3, None, 7), (None, "", 8), (1, text, 5)], "doc_id long, text string, n_email int")
-    rows = surrogates.pseudonymised_documents(docs).collect()
+    rows = surrogates.pseudonymised_documents(docs, KEY).collect()
     got = {r["doc_id"]: r for r in rows}
     assert len(rows) == 5 and got[2]["text"] == clean and got[3]["text"] is None and got[None]["text"] == ""
     one = got[1]
@@ -57,7 +128,7 @@ def test_documents(spark):
     for value in ("Anna", "Smith", "x.72@", "555-7725", "190.55.3.2", "4952935900253052"):
         assert value not in one["text"]
     assert one["text"].startswith("Mrs ") and one["text"].split()[2] == one["text"].split()[-1]
-    assert surrogates.pseudonymised_documents(docs.limit(0)).count() == 0
+    assert surrogates.pseudonymised_documents(docs.limit(0), KEY).count() == 0
 
 
 def test_shared_surrogates_are_found(spark):
@@ -140,6 +211,20 @@ def test_pages_are_judged_right(spark):
     assert all(sum(r["posterior"]) == pytest.approx(1) and max(r["posterior"]) == pytest.approx(r["probability"]) for r in rows)
 
 
+def test_page_text():
+    assert language.page_text("<p>a<script>b</script>c<!-- d -->e<nav>f").split() == ["a", "c", "e", "f"]
+    assert language.page_text("a <NAV x='1'>b</nav > c <b>d") .split() == ["a", "c", "d"]
+    assert language.page_text(None) == "" and language.page_text("1 < 2 &amp; 3") == "1 < 2 & 3"
+    began = time.perf_counter()
+    language.page_text("<nav>" * 50_000 + "<" * 50_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_every_label_is_a_language(spark):
+    docs = spark.createDataFrame([("the and", "en")] * 3000 + [("zzz qqq", "xx"), ("y" * 50_000, "long")], "text string, lang string")
+    assert language.fit(docs, sample=50).langs == ["en", "long", "xx"]
+
+
 def test_fusion_matches_brute_force(spark):
     docs = spark.createDataFrame([("la le les une des", "fr"), ("the and of was with", "en")], "text string, lang string")
     raw = [(1, "http://a.x.fr/1", "<html lang=fr>la le une"), (2, "http://a.x.fr/2", "<html lang=en>les des"), (3, "http://b.x.fr/", "<html lang=en>"), (4, None, None), (5, "HTTP://u@c.com:80/", "<HTML xml:lang='en-GB'>the of &amp; was"), (None, "odd", ""), (5, "HTTP://u@c.com:80/", "<HTML xml:lang='en-GB'>the of &amp; was")]
@@ -152,26 +237,15 @@ def test_fusion_matches_brute_force(spark):
         host = {"http://a.x.fr/1": "a.x.fr", "http://a.x.fr/2": "a.x.fr", "http://b.x.fr/": "b.x.fr", "HTTP://u@c.com:80/": "c.com"}.get(url, "")
         p = np.exp(ll - ll.max())
         seen.append((pid, host, ".".join(host.split(".")[-2:]) if "." in host else "", host.rpartition(".")[2] if "." in host else "", language.declared(html), ll, p / p.sum()))
-    total = sum(s[6] for s in seen) + 1
-
-    def smooth(column, parent):
-        out = {}
-        for s in seen:
-            out[s[column]] = out.get(s[column], 0) + s[6]
-        return {k: (c + language.STRENGTH * parent(k)) / (c.sum() + language.STRENGTH) for k, c in out.items()}
-
-    by_suffix = smooth(3, lambda k: total / total.sum())
-    up = {s[2]: s[3] for s in seen} | {}
-    by_domain = smooth(2, lambda k: by_suffix[up[k]])
-    over = {s[1]: s[2] for s in seen}
-    by_host = smooth(1, lambda k: by_domain[over[k]])
-
-    def trust(column, value):
-        return np.log((sum(s[6] for s in seen if s[column] == value) + 0.1) / (total + 0.1))
-
     want = []
-    for s in seen:
-        logs = s[5] + trust(4, s[4]) + trust(3, s[3]) + np.log(by_host[s[1]])
+    for at, s in enumerate(seen):
+        rest = [x for i, x in enumerate(seen) if i != at]  # no page votes for itself
+        prior = np.full(2, 0.5)
+        for same in (lambda x: True, lambda x, s=s: x[3] == s[3], lambda x, s=s: x[2] == s[2] and x[3] == s[3], lambda x, s=s: x[1] == s[1]):
+            c = sum((x[6] for x in rest if same(x)), np.zeros(2))
+            prior = (c + language.STRENGTH * prior) / (c.sum() + language.STRENGTH)
+        marks = sum((x[6] for x in rest if x[4] == s[4]), np.zeros(2))
+        logs = s[5] + np.log((marks + 0.1) / (sum(x[6] for x in rest) + 1.0)) + np.log(prior)
         p = np.exp(logs - logs.max())
         want.append((s[0] or 0, [round(x, 6) for x in p / p.sum()]))
     assert sorted((r["page_id"] or 0, [round(x, 6) for x in r["posterior"]]) for r in rows) == sorted(want)
@@ -226,6 +300,25 @@ def test_near_copies_are_found_and_others_kept(spark):
     assert got == set(root) and len(got) < len(texts) - 20
 
 
+def test_stages_return_clashing_columns_unchanged(spark):
+    names = ["score", "predicted", "held_out", "weight", "probability", "kept", "n_tokens", "topic", "pii_entities", "__row", "__same", "__text", "row", "__column0"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300")
+    odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", None, 0), (None, "x" * 300_000, "en", "s", 1), (9003, "twice", "en", "s", 5), (9003, "twice", "en", "s", 5)], docs.schema)
+    docs = docs.unionByName(odd)
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")))
+    docs = storage.staged(docs, "clash")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.01")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == (None if r["doc_id"] is None else f"{i}:{r['doc_id']}") for r in rows for i, n in enumerate(names)), name
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.01").count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.01").collect()
+    assert len({(r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed if r["doc_id"] != 9003}) == sum(r["doc_id"] != 9003 for r in packed)
+    assert sum(r["doc_id"] == 9003 for r in packed) == 2
+
+
 def test_stages(spark):
     sf = "/root/testdata/sf0.01"  # the smallest has too few labels for a document to be rejected
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import struct
 import zlib
 
@@ -22,13 +23,38 @@ def test_shard_finds_what_a_scan_finds(seed):
     n, d = [(1, 3), (15, 2), (300, 8), (900, 64), (700, 5), (400, 64)][seed]
     rows = np.floor(rng.normal(0, [1, 3, 8, 8, 40000, 0.5][seed], (n, d))).astype("i8")
     ids = rng.permutation(5 * n)[:n]
-    shard = topk.Shard(ids, rows)
+    own = np.arange(n)
+    search = topk.Search(own, ids, rows, 20)
+    shards = [topk.Shard.of(own[i : i + 250], ids[i : i + 250], rows[i : i + 250]) for i in range(0, n, 250)]
+    for shard in shards:
+        again = topk.Shard.unpacked(shard.packed())
+        assert again.rows().tolist() == rows[shard.own].tolist()
+        search.add(again)
     for i in range(0, n, max(1, n // 25)):
-        got_ids, got = shard.search(ids[i], rows[i], 20)
-        others = np.flatnonzero(ids != ids[i])
-        score = rows[others] @ rows[i]
-        best = others[np.lexsort((ids[others], -score))[:20]]
-        assert got_ids.tolist() == ids[best].tolist() and got.tolist() == (rows[best] @ rows[i]).tolist()
+        score = rows @ rows[i]
+        others = np.flatnonzero(own != i)
+        best = others[np.lexsort((ids[others], -score[others]))[:20]]
+        mine = search.best[0] == i
+        assert search.best[1][mine].tolist() == score[best].tolist()
+        assert search.best[2][mine].tolist() == ids[best].tolist()
+
+
+def test_search_stops_early():
+    """Rows of a few clusters: most queries stop before the last impact level, and few rows are rescored."""
+    rng = np.random.default_rng(3)
+    middles = rng.normal(0, 8, (40, 64))
+    rows = np.floor(middles[rng.integers(0, 40, 4000)] + rng.normal(0, 2, (4000, 64))).astype("i8")
+    shards = [topk.Shard.of(np.arange(i, i + 1000), np.arange(i, i + 1000), rows[i : i + 1000]) for i in range(0, 4000, 1000)]
+    search = topk.Search(np.arange(100), np.arange(100), rows[:100], 20)
+    for shard in shards:
+        search.add(shard)
+    levels = sum(len(s.planes) for s in shards)
+    assert (search.processed < levels).mean() > 0.9
+    assert search.rescored.max() < 1000
+    for i in range(100):
+        score = rows @ rows[i]
+        score[i] = -(10**9)
+        assert search.best[1][search.best[0] == i].tolist() == np.sort(score)[::-1][:20].tolist()
 
 
 def test_top_k_odd_rows(spark):
@@ -36,25 +62,32 @@ def test_top_k_odd_rows(spark):
     rows = [(i, [i / 7, 1.0 - i]) for i in range(45)] + [(None, [1.0, 1.0]), (60, None), (80, [nan, 1.0]), (100, [inf, 1.0]), (120, [None, 1.0]), (140, []), (160, [2.0]), (0, [0.0, 1.0]), (41, [1e9, 5.0])]
     df = spark.createDataFrame([(i, v, 3, "x") for i, v in rows], "vec_id long, embedding array<double>, rank int, score string")
     got = topk.top_k(df).collect()
-    v = {}
+    v = []
     for i, x in rows:
         if i is not None and x and all(c is not None and np.isfinite(c) for c in x):
             x = [int(np.floor(64 * c)) for c in x]
-            v[i] = min(v.get(i, x), x)
-    full = {i: x + [0] * (2 - len(x)) for i, x in v.items()}
-    for q in [i for i in v if i % 20 == 0]:
-        want = sorted((-int(np.dot(full[q], x)), i) for i, x in full.items() if i != q)[:20]
-        assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
-    assert {r["query_id"] for r in got} == {i for i in v if i % 20 == 0}
+            v.append((i, x + [0] * (2 - len(x))))
+    want = []
+    for at, (q, x) in enumerate(v):
+        if q % 20 == 0:
+            best = sorted((-int(np.dot(x, y)), i) for other, (i, y) in enumerate(v) if other != at)[:20]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    db.executemany("INSERT INTO embeddings VALUES (?, ?)", [list(r) for r in rows])
+    assert sorted(db.execute(queries.TOP_K_SQL).fetchall()) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
 def test_top_k_matches_sql(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     db = duckdb.connect()
     db.execute(f"CREATE VIEW embeddings AS FROM '{SF}/embeddings.parquet'")
     want = db.execute(queries.TOP_K_SQL).fetchall()
     got = queries.op2_impact_ordered_top_k(spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
 # ---- JPEG
@@ -274,6 +307,33 @@ def test_quality_learns_held_out_labels(spark):
     assert len(held) > 50 and np.mean(held) > 0.93, np.mean(held)
 
 
+def test_op8_against_brute_force(spark):
+    """The model again by plain loops over whole texts, and scores of every document by it."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").collect(), spark.read.parquet(f"{SF}/labels.parquet").collect()
+    got = {r["doc_id"]: r for r in queries.op8_subword_quality(spark, SF).collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels if r["quality"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs}
+    at = spark.createDataFrame([(k,) for k in known if k in texts], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id, 7) AS h").collect()
+    order = [r["doc_id"] for r in sorted(at, key=lambda r: (r["h"], r["doc_id"]))]
+
+    def grams(text):
+        out = {}
+        for word in text.split():
+            own = f"<{word}>"
+            for g in [own] + [own[i : i + n] for n in quality.NGRAMS for i in range(len(own) - n + 1)]:
+                b = zlib.crc32(g.encode("utf-8", "replace")) % quality.BUCKETS
+                out[b] = out.get(b, 0) + 1
+        return out
+
+    model = quality.train([(np.array(sorted(g)), np.array([g[k] for k in sorted(g)])) for g in (grams(texts[k]) for k in order)], [known[k] for k in order])
+    assert len(got) == len(docs)
+    for doc_id, text in texts.items():
+        g = grams(text)
+        odds = model.bias + (sum(float(model.share[k]) * n for k, n in g.items()) / sum(g.values()) if g else 0.0)
+        assert got[doc_id]["score"] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-5)
+        assert got[doc_id]["held_out"] == (zlib.crc32(str(doc_id).encode()) % 4 == 2) and got[doc_id]["predicted"] == int(got[doc_id]["score"] >= 0.7)
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "fine words", "c"), (3, "x" * 5000, "d"), (3, "x" * 5000, "d")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, None), (2, 5), (None, 1)], "doc_id long, quality int")
@@ -283,7 +343,7 @@ def test_quality_odd_rows(spark):
 
 
 def test_word_shares_match_the_mean():
-    model = quality.train(["good fine words"] * 4 + ["!!! ### bad"] * 4, [1] * 4 + [0] * 4)
+    model = quality.train([quality.bag(t, {}) for t in ["good fine words"] * 4 + ["!!! ### bad"] * 4], [1] * 4 + [0] * 4)
     text = "good ### unseen"
     f = np.concatenate([quality.features(w) for w in text.split()])
     want = 1 / (1 + np.exp(-(model.bias + model.share[f].mean())))
@@ -310,3 +370,43 @@ def test_random_strings_and_known_ones(spark):
     assert got[3]["spans"] == got[None]["spans"] == ""
     assert got[4]["spans"] == "assign:0:49,hex:9:49" and got[4]["base_sha256"] == hashlib.sha256(b"assign:0:49,hex:9:49").hexdigest() and (got[4]["n_assign"], got[4]["n_hex"]) == (1, 1)
     assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_op10_against_brute_force(spark):
+    """Every base span of a whole table, found by scanning each start place; random spans by the ratio itself."""
+    sf = "/root/testdata/sf0.01"  # the smallest has no secrets
+    got = {r["doc_id"]: r for r in queries.op10_token_efficiency_secrets(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(docs) and sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in got.values()) > 5
+    stated = [
+        (re.compile(r"""(?a:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", re.I), lambda m: len(m[2]) >= 6),
+        (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    ]
+    encoding = secrets.vocabulary(secrets.VOCABULARY)
+    for r in docs:
+        text, spans = r["text"] or "", []
+        for kind, (pattern, fine) in enumerate(stated):
+            at = 0
+            while at < len(text):
+                m = pattern.match(text, at)
+                if m and fine(m):
+                    spans.append((m.start(), kind, m.end()))
+                at = m.end() if m and m.end() > at else at + 1
+        base, row = sorted(spans), got[r["doc_id"]]
+        assert [row[f"n_{k}"] for k in secrets.KINDS[:3]] == [sum(k == kind for _, k, _ in base) for kind in range(3)]
+        assert row["base_sha256"] == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
+        for name, s, e in (x.split(":") for x in row["spans"].split(",") if x.startswith("token:")):
+            run = text[int(s) : int(e)]
+            assert len(run) < secrets.RATIO * len(encoding.encode_ordinary(run)) and not any(int(s) < b and a < int(e) for a, _, b in base), name
+
+
+def test_random_strings_are_told_from_words():
+    """Planted keys of random base-64 against joined dictionary words: recall and precision of the ratio."""
+    rng, encoding = random.Random(2), secrets.vocabulary(secrets.VOCABULARY)
+    random_runs = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=rng.randrange(24, 60))) for _ in range(300)]
+    words = "the service returns value number order table state person result market system group child school family point water place under right study company issue problem".split()
+    plain = ["".join(w.title() for w in rng.choices(words, k=6)) + str(rng.randrange(100)) for _ in range(300)]
+    found = [bool(secrets.random_spans(f"x {t} y", encoding)) for t in random_runs]
+    wrong = [bool(secrets.random_spans(f"x {t} y", encoding)) for t in plain]
+    assert np.mean(found) > 0.95 and np.mean(wrong) < 0.02
