@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,26 +27,50 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def reverse_scan(values: Column, carry: float | Column) -> Column:
-    """out[t] = values[t] + carry x out[t + 1]."""
-    step = lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.element_at(acc, -1), F.lit(0.0)) * carry))
-    scanned = F.aggregate(F.reverse(values), F.array().cast("array<double>"), lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(step(acc, x)))
-    return F.reverse(scanned)
+    """out[t] = values[t] + carry x out[t + 1], in log2(n) passes over the whole array.
+
+    After a pass each place holds the sum over twice as many places as before.
+    """
+    carry = carry if isinstance(carry, Column) else F.lit(float(carry))
+
+    def double(acc: Column, k: Column) -> Column:
+        step = F.pow(F.lit(2.0), k).cast("int")
+        return bound(F.struct(step.alias("s"), F.pow(carry, step).alias("c")), lambda z: F.transform(acc, lambda x, i: x + z["c"] * F.coalesce(F.get(acc, i + z["s"]), F.lit(0.0))))
+
+    def scan(v: Column) -> Column:
+        passes = F.sequence(F.lit(0), F.ceil(F.log2(F.size(v).cast("double"))).cast("int") - 1)
+        return F.when(F.size(v) < 2, v).otherwise(F.aggregate(F.when(F.size(v) < 2, F.array().cast("array<int>")).otherwise(passes), v, double))
+
+    return bound(F.transform(values, lambda x: x.cast("double")), scan)
 
 
 def gae(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
-    """Advantages by a reverse scan; tokens outside the mask hand on the state they were given."""
-    start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("out"))
+    """Advantages by a reverse scan; tokens outside the mask hand on the state they were given.
+
+    The kept tokens are scanned by themselves, and each token outside takes what the next kept one
+    has, or 0 where there is none.
+    """
+    tokens = F.transform(F.arrays_zip(rewards.alias("r"), values.alias("v"), mask.alias("m")), lambda z: F.struct(z["r"].cast("double").alias("r"), z["v"].cast("double").alias("v"), z["m"].cast("double").alias("m")))
+
+    def kept_advantages(kept: Column) -> Column:
+        return reverse_scan(F.transform(kept, lambda z, i: z["r"] + F.lit(gamma) * F.coalesce(F.get(kept, i + 1)["v"], F.lit(0.0)) - z["v"]), gamma * lam)
+
+    def spread_out(z: Column) -> Column:
+        total = F.size(z["kept"])
+        return F.transform(z["ahead"], lambda n: F.coalesce(F.get(z["kept"], (total - n).cast("int")), F.lit(0.0)))
 
-    def step(acc: Column, t: Column) -> Column:
-        delta = t["r"] + F.lit(gamma) * acc["next"] - t["v"]
-        now = delta + F.lit(gamma * lam) * acc["last"]
-        on = t["m"] != 0
-        last = F.when(on, now).otherwise(acc["last"])
-        return F.struct(F.when(on, t["v"]).otherwise(acc["next"]).alias("next"), last.alias("last"), F.concat(acc["out"], F.array(last)).alias("out"))
+    def both(t: Column) -> Column:
+        on = F.transform(t, lambda z: (z["m"] != 0).cast("double"))
+        kept = bound(F.filter(t, lambda z: z["m"] != 0), kept_advantages)
+        return bound(F.struct(kept.alias("kept"), reverse_scan(on, 1.0).alias("ahead")), spread_out)
 
-    zipped = F.transform(F.arrays_zip(rewards.alias("r"), values.alias("v"), mask.alias("m")), lambda z: F.struct(z["r"].cast("double").alias("r"), z["v"].cast("double").alias("v"), z["m"].cast("double").alias("m")))
-    return F.reverse(F.aggregate(F.reverse(zipped), start, step, lambda acc: acc["out"]))
+    return bound(tokens, both)
 
 
 def mask_to_first_end(ids: Column, ends: Column) -> Column:
@@ -73,7 +99,8 @@ def truncate(values: Column, length: int, mode: str = "right") -> Column:
 
 def windows(values: Column, n: int) -> Column:
     """All runs of ``n`` neighbours."""
-    return F.when(F.size(values) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(values) - n + 1, F.lit(1))), lambda i: F.slice(values, i, n))).otherwise(F.slice(F.array(values), 1, 0))
+    runs = lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.size(v) - n + 1, F.lit(1))), lambda i: F.slice(v, i, n))
+    return bound(values, lambda v: F.when(F.size(v) >= n, runs(v)).otherwise(F.slice(F.array(v), 1, 0)))
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import text as t
 
+#: The names of data sources, in the routes below.
 ROUTES: dict[str, Callable[[Column, Column], Column]] = {}
 
 

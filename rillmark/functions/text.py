@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from rillmark.functions.arrays import bound, windows
+
 # Rewrites and removals that normalise a final answer.
 SUBSTITUTIONS = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
 REMOVED = [
@@ -47,6 +49,7 @@ def normalise_final(answer: Column) -> Column:
     x = F.element_at(F.split(answer, "="), -1)
     x = reduce(lambda a, s: F.replace(a, F.lit(s[0]), F.lit(s[1])), SUBSTITUTIONS, x)
     x = reduce(lambda a, s: F.replace(a, F.lit(s), F.lit("")), REMOVED, x)
+    # fixed values: the rewrites of markup
     for pattern, to in [(r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"), (r"(\\text\{)(.*?)(\})", "$2"), (r"(\\textbf\{)(.*?)(\})", "$2"), (r"(\\overline\{)(.*?)(\})", "$2"), (r"(\\boxed\{)(.*)(\})", "$2"), (r"(frac)([^{])(.)", r"frac{$2}{$3}"), (r"(sqrt)([^{])", r"sqrt{$2}")]:
         x = F.regexp_replace(x, pattern, to)
     x = F.replace(x, F.lit("$"), F.lit(""))
@@ -105,11 +108,9 @@ def provenance_answer(answer: Column) -> Column:
 
 def ngram_repetition(words: Column, n: int = 4) -> Column:
     """Share of n-grams that repeat an earlier one."""
-    from rillmark.functions.arrays import windows
-
     # as strings: distinct arrays are found by comparing all pairs, distinct strings by hash
     grams = F.transform(windows(words, n), lambda g: F.array_join(g, "\u001f"))
-    return F.when(F.size(grams) > 0, F.lit(1.0) - F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(F.lit(0.0))
+    return bound(grams, lambda g: F.when(F.size(g) > 0, F.lit(1.0) - F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(0.0)))
 
 
 def parse_budget(text: Column) -> Column:

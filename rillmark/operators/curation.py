@@ -15,6 +15,7 @@ from rillmark.functions.text import decontamination_tokens
 from rillmark.sources.staging import spread
 
 GRAM = 10
+GROUP_BLOCKS = 8
 
 
 def grams(df: DataFrame, key: str, text: str, n: int = GRAM) -> DataFrame:
@@ -104,9 +105,9 @@ def round_robin(df: DataFrame, cluster: str, target: int, seed: int, row: str) -
 def coverage(heldout: DataFrame, selected: DataFrame, block: int = 2048, others: bool = False) -> DataFrame:
     """Mean over held-out vectors of the greatest cosine to a selected one; with ``others``, of another vec_id.
 
-    Selected vectors travel as blocks of bytes; a block and a held-out row meet once each.
+    Both sides travel as blocks of bytes of ``block`` rows at most; a held-out block and a selected
+    one meet once, by an equi-join on a group of ``GROUP_BLOCKS`` selected blocks.
     """
-    flat = selected.select("vec_id", unit_rows(F.col("embedding").cast("array<double>")).alias("v"))
 
     def gather(batches):
         ids: list = []
@@ -115,23 +116,28 @@ def coverage(heldout: DataFrame, selected: DataFrame, block: int = 2048, others:
             ids += pdf["vec_id"].tolist()
             held += pdf["v"].tolist()
             while len(held) >= block:
-                yield pd.DataFrame({"n": [block], "of": [np.array(ids[:block], np.int64).tobytes()], "data": [np.array(held[:block]).tobytes()]})
+                yield pd.DataFrame({"of": [np.array(ids[:block], np.int64).tobytes()], "data": [np.array(held[:block]).tobytes()]})
                 ids, held = ids[block:], held[block:]
         if held:
-            yield pd.DataFrame({"n": [len(held)], "of": [np.array(ids, np.int64).tobytes()], "data": [np.array(held).tobytes()]})
+            yield pd.DataFrame({"of": [np.array(ids, np.int64).tobytes()], "data": [np.array(held).tobytes()]})
 
-    blocks = flat.mapInPandas(gather, "n int, of binary, data binary")
-    asked = heldout.select("vec_id", unit_rows(F.col("embedding").cast("array<double>")).alias("v")).groupBy(F.pmod(F.hash("vec_id"), F.lit(64)).alias("part")).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"))
+    def blocks(df: DataFrame) -> DataFrame:
+        return df.select("vec_id", unit_rows(F.col("embedding").cast("array<double>")).alias("v")).mapInPandas(gather, "of binary, data binary")
+
+    groups = -(-max(1, -(-selected.count() // block)) // GROUP_BLOCKS)
+    against = blocks(selected).withColumn("part", F.pmod(F.xxhash64("of"), F.lit(groups)))
+    asked = blocks(heldout).select(F.col("of").alias("ids"), F.col("data").alias("vs"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"))
 
     def best(batches):
         for pdf in batches:
-            for ids, vs, n, of, data in zip(pdf["ids"], pdf["vs"], pdf["n"], pdf["of"], pdf["data"], strict=True):
-                sims = np.stack(vs.tolist() if hasattr(vs, "tolist") else vs) @ np.frombuffer(data).reshape(n, -1).T
+            for ids, vs, of, data in zip(pdf["ids"], pdf["vs"], pdf["of"], pdf["data"], strict=True):
+                mine, theirs = np.frombuffer(ids, np.int64), np.frombuffer(of, np.int64)
+                sims = np.frombuffer(vs).reshape(len(mine), -1) @ np.frombuffer(data).reshape(len(theirs), -1).T
                 if others:
-                    sims[np.asarray(ids, np.int64)[:, None] == np.frombuffer(of, np.int64)] = -np.inf
-                yield pd.DataFrame({"vec_id": ids, "best": sims.max(axis=1)})
+                    sims[mine[:, None] == theirs] = -np.inf
+                yield pd.DataFrame({"vec_id": mine, "best": sims.max(axis=1)})
 
-    met = asked.crossJoin(blocks).mapInPandas(best, "vec_id long, best double")
+    met = asked.join(against.hint("merge"), "part").select("ids", "vs", "of", "data").mapInPandas(best, "vec_id long, best double")
     return met.groupBy("vec_id").agg(F.max("best").alias("best")).where(F.col("best") > F.lit(float("-inf"))).agg(F.avg("best").alias("coverage"))
 
 

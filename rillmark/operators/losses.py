@@ -144,7 +144,7 @@ def correction_weights(df: DataFrame, level: str = "token", most: float = 2.0, n
         return out
     tokens = total(F.transform("mask", lambda m: m.cast("double")))
     mean = out.agg((F.sum(total(F.col("weights"))) / F.sum(tokens)).alias("__m")) if level == "token" else out.agg(F.avg(F.array_max("weights")).alias("__m"))
-    return out.crossJoin(F.broadcast(mean)).withColumn("weights", F.transform("weights", lambda w: w / F.col("__m"))).drop("__m")
+    return out.crossJoin(F.broadcast(mean)).withColumn("weights", F.transform("weights", lambda w: w / F.greatest(F.col("__m"), F.lit(EPSILON)))).drop("__m")
 
 
 def rejection_mask(df: DataFrame, level: str = "token", high: float = 2.0, low: float | None = None) -> DataFrame:

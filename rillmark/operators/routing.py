@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.sources.staging import staged
+from rillmark.sources.staging import joined_by_count, staged
 
 
 def group_success(df: DataFrame, size: int | None = None, betas: dict[str, float] | None = None) -> DataFrame:
@@ -40,11 +42,27 @@ def midrank(df: DataFrame, value: str, out: str = "unit_rank") -> DataFrame:
     counts = df.where(finite).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
     counts = staged(counts)
     before = running_total(counts, "__v", "__n")
-    total = counts.agg(F.sum("__n").alias("__all"))
-    rank = F.when(F.col("__all") > 1, (F.col("__before") + (F.col("__n") - 1) / 2) / (F.col("__all") - 1)).otherwise(F.lit(0.5))
-    ranks = before.crossJoin(F.broadcast(total)).select("__v", rank.alias(out))
-    joined = df.withColumn("__k", F.when(finite, F.col(value))).join(ranks, F.col("__k") == F.col("__v"), "left")
-    return joined.withColumn(out, F.coalesce(out, F.lit(0.5))).drop("__k", "__v")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    rank = (F.col("__before") + (F.col("__n") - 1) / 2) / F.lit(total - 1) if total > 1 else F.lit(0.5)
+    ranks = before.select("__v", "__n", rank.alias(out))
+    joined = joined_by_count(df.withColumn("__v", F.when(finite, F.col(value))), ranks, "__v", "__n", total, out)
+    return joined.withColumn(out, F.coalesce(out, F.lit(0.5))).drop("__v")
+
+
+def quantile(df: DataFrame, value: str, share: float, interpolate: bool = True) -> float | None:
+    """The quantile of all rows, between two values or the least that so many rows do not exceed; null if there are none.
+
+    It is read off the counts per distinct value and their running total, so no task holds them all.
+    """
+    counts = staged(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n")))
+    n = counts.agg(F.sum("__n")).first()[0] or 0
+    if not n:
+        return None
+    place = share * (n - 1) if interpolate else max(ceil(share * n - 1e-9) - 1, 0)
+    low, high = int(place), ceil(place)
+    at = running_total(counts, "__v", "__n")
+    found = {p: at.where((F.col("__before") <= p) & (F.col("__before") + F.col("__n") > p)).first()["__v"] for p in {low, high}}
+    return found[low] if low == high else found[low] + (found[high] - found[low]) * (place - low)
 
 
 def running_total(df: DataFrame, order: str, value: str, out: str = "__before") -> DataFrame:
@@ -67,26 +85,25 @@ def two_signal(df: DataFrame, base: float = 0.2, delta: float = 0.1, least: floa
     return out.withColumns({"style": style, "beta": F.greatest(F.lit(least), F.least(F.lit(base), F.lit(base) - F.lit(delta) * F.col("easy")))})
 
 
-def select_candidates(df: DataFrame, order: str = "sample", quantile: float = 0.0, drop_rejected: bool = False) -> DataFrame:
+def select_candidates(df: DataFrame, order: str = "sample", least: float = 0.0, drop_rejected: bool = False) -> DataFrame:
     """One sample per uid: the shortest correct one (ties: more confident, then first), else the
     most confident one; with a quantile, else the shortest accepted one (logp above that quantile)."""
-    if quantile > 0:
-        cut = df.agg(F.percentile("logp", F.lit(quantile)).alias("__cut"))
-        rows = df.crossJoin(F.broadcast(cut)).withColumn("accepted", F.col("logp") > F.col("__cut")).drop("__cut")
+    if least > 0:
+        rows = df.withColumn("accepted", F.col("logp") > F.lit(quantile(df, "logp", least)))
     else:
         rows = df.withColumn("accepted", F.lit(True))
     right = F.col("score") > 0.5
     tier = F.when(right, 0).when(F.col("accepted"), 1).otherwise(2)
-    size = F.when(right, F.col("length")).when(F.lit(quantile > 0) & F.col("accepted"), F.col("length")).otherwise(F.lit(0))
+    size = F.when(right, F.col("length")).when(F.lit(least > 0) & F.col("accepted"), F.col("length")).otherwise(F.lit(0))
     best = Window.partitionBy("uid").orderBy(tier, size, F.desc("logp"), order)
     out = rows.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r").withColumn("correct", right)
     return out.where(right | F.col("accepted")) if drop_rejected else out
 
 
-def percentile_filter(df: DataFrame, value: str, quantile: float) -> DataFrame:
+def percentile_filter(df: DataFrame, value: str, share: float) -> DataFrame:
     """Rows at or above the interpolated quantile of all rows."""
-    cut = df.agg(F.percentile(value, F.lit(quantile)).alias("__cut"))
-    return df.crossJoin(F.broadcast(cut)).where(F.col(value) >= F.col("__cut")).drop("__cut")
+    cut = quantile(df, value, share)
+    return df.where(F.col(value) >= F.lit(cut))
 
 
 def length_budget(length: Column, alpha: float, beta: float, least: int = 1, step: int = 1, most: int | None = None) -> tuple[Column, Column]:
@@ -104,8 +121,8 @@ def overlong_penalty(length: Column, most: int, buffer: int, factor: float = 1.0
 
 def length_penalty(df: DataFrame) -> DataFrame:
     """Add ``penalty``: max(0, ln(length / lower median length of all rows))."""
-    median = df.agg(F.percentile_disc("length", F.lit(0.5)).alias("__m")) if hasattr(F, "percentile_disc") else df.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY length)").alias("__m"))
-    return df.crossJoin(F.broadcast(median)).withColumn("penalty", F.greatest(F.lit(0.0), F.log(F.col("length") / F.col("__m")))).drop("__m")
+    median = quantile(df, "length", 0.5, interpolate=False)
+    return df.withColumn("penalty", F.greatest(F.lit(0.0), F.log(F.col("length") / F.lit(median))))
 
 
 def keep_latest(df: DataFrame, key: str, *order: Column) -> DataFrame:

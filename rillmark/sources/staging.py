@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -17,6 +18,9 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='rillmark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/rillmark/{uuid.uuid4().hex}"
@@ -32,3 +36,21 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: A key is heavy where it has more than this share of the rows, so there are so many at most.
+HEAVY_MOST = 500
+
+
+def joined_by_count(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, added: str) -> DataFrame:
+    """``rows`` with column ``added`` of ``table`` (one row a key, with its number of rows in ``count``), null where the key is not in it.
+
+    The few heavy keys are broadcast, and only the others are dealt by key, so no task gets a third
+    of the rows because they share a value.
+    """
+    least = max(1, total // HEAVY_MOST)
+    side = lambda test, name: table.where(test).select(F.col(key).alias(f"__key_{name}"), F.struct(added).alias(f"__{name}"))
+    marked = rows.join(F.broadcast(side(F.col(count) > least, "heavy")), F.col(key) == F.col("__key_heavy"), "left").drop("__key_heavy")
+    done = marked.where("__heavy IS NOT NULL").select(*rows.columns, F.col(f"__heavy.{added}").alias(added))
+    rest = marked.where("__heavy IS NULL").drop("__heavy").join(side(F.col(count) <= least, "light").hint("merge"), F.col(key) == F.col("__key_light"), "left")
+    return done.unionByName(rest.select(*rows.columns, F.col(f"__light.{added}").alias(added)))
