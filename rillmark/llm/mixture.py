@@ -31,7 +31,7 @@ CELLS_MOST = 100_000
 WEIGHT_MOST = 1e12
 SHARE = 0.5
 TEMPERATURE = 0.5
-ADDED = ("__source", "__lang", "__topic", "n_tokens", "topic", "weight", "probability", "kept")
+ADDED = ("__source", "__lang", "__topic", "__draw", "n_tokens", "topic", "weight", "probability", "kept")
 
 
 def n_tokens(text: Column) -> Column:
@@ -236,25 +236,27 @@ def marginals(mixed: DataFrame, targets: dict[str, dict] | None = None, temperat
     return mixed.sparkSession.createDataFrame(out, "axis string, category string, target double, reachable double, expected double")
 
 
-def mix(docs: DataFrame, targets: dict[str, dict] | None = None, share: float = SHARE, temperature: float = TEMPERATURE, seed: int = 11, cells_most: int = CELLS_MOST, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict] | None = None, share: float = SHARE, temperature: float = TEMPERATURE, seed: int = 11, cells_most: int = CELLS_MOST, rounds: int = ROUNDS, drop_text: bool = False) -> DataFrame:
     """``docs`` with n_tokens, topic, weight, probability and kept.
 
     ``targets``: for an axis, the wished share of each category; other axes get their own shares
-    evened out by ``temperature``.
+    evened out by ``temperature``.  With ``drop_text`` the texts are not returned, and only read once.
     """
-    full = described(docs)
+    # uniform in [0, 1): 53 bits of a keyed hash
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))), 11) / F.lit(float(1 << 53))
+    full = described(docs).withColumn("__draw", drawn)
+    if drop_text:  # what is left is narrow, so texts are read and described once
+        full = storage.staged(full.drop("text"), "described")
     cells = storage.staged(cell_table(full), "cells")
     small = cells.count() <= cells_most
     raked = (_raked_here if small else _raked_apart)(cells, targets or {}, share, temperature, rounds)
     keys = [f"__{a}" for a in AXES]
-    # uniform in [0, 1): 53 bits of a keyed hash
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))), 11) / F.lit(float(1 << 53))
     joined = full.join(F.broadcast(raked) if small else raked, keys)
-    out = joined.withColumn("kept", u < F.col("probability")).withColumn("topic", F.when(F.col("__topic") != "null", F.substring("__topic", 2, 1 << 30)))
-    rest = [c for c in docs.columns if c not in ADDED]
+    out = joined.withColumn("kept", F.col("__draw") < F.col("probability")).withColumn("topic", F.when(F.col("__topic") != "null", F.substring("__topic", 2, 1 << 30)))
+    rest = [c for c in docs.columns if c not in ADDED and not (drop_text and c == "text")]
     return out.select(*rest, "topic", "n_tokens", "weight", "probability", "kept")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, kept for every row."""
-    return mix(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+    return mix(docs.select("doc_id", "text", "lang", "source"), drop_text=True).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
