@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ WINDOW = 16
 TARGET_IDS = 512
 LEAST_IDS, MOST_IDS = 128, 4096
 FAN = 512
+#: Texts that are encoded and hashed as one array.
+TOGETHER = 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _POLYNOMIAL = 0xEDB88320
 
@@ -56,18 +59,40 @@ def rolling_hash(ids: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 def cut_points(ids: np.ndarray, target: int = TARGET_IDS, least: int = LEAST_IDS, most: int = MOST_IDS) -> list[int]:
     """Ends of the chunks: where the rolling hash falls in one of ``target`` classes, or ``most``."""
-    ends, last = [], 0
     marks = np.flatnonzero(rolling_hash(ids) % np.uint64(target) == 0) + 1 if len(ids) > least else ()
-    for end in [*(int(m) for m in marks), len(ids)]:
+    return _ends(marks, len(ids), least, most)
+
+
+def _ends(marks, n: int, least: int, most: int) -> list[int]:
+    ends, last = [], 0
+    for end in [*(int(m) for m in marks), n]:
         while end - last > most:
             last += most
             ends.append(last)
-        if end - last >= least or end == len(ids) and end > last:
+        if end - last >= least or end == n and end > last:
             ends.append(end)
             last = end
     return ends
 
 
+def cut_together(streams: list[np.ndarray], target: int = TARGET_IDS, least: int = LEAST_IDS, most: int = MOST_IDS) -> list[list[int]]:
+    """``cut_points`` of each stream, hashed as one array.
+
+    Windows that reach back into the stream before end among the first ``WINDOW`` - 1 ids, where
+    no chunk can end, as chunks have ``least`` ids.
+    """
+    if least < WINDOW:
+        return [cut_points(ids, target, least, most) for ids in streams]
+    ends = np.cumsum([len(x) for x in streams])
+    marks = np.flatnonzero(rolling_hash(np.concatenate(streams)) % np.uint64(target) == 0) + 1 if len(streams) else np.zeros(0, np.int64)
+    edges = np.searchsorted(marks, ends, side="right")
+    out, first, at = [], 0, 0
+    for ids, edge, end in zip(streams, edges.tolist(), ends.tolist(), strict=True):
+        out.append(_ends(marks[at:edge] - first if len(ids) > least else (), len(ids), least, most))
+        first, at = end, edge
+    return out
+
+
 def packed(ids: np.ndarray) -> bytes:
     """A width byte and the ids: two bytes each where they fit, else four."""
     wide = len(ids) and int(ids.max()) > 0xFFFF
@@ -95,13 +120,14 @@ def encode_documents(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 1
         table, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(table.id_bytes(text) + end, "<u4")
-                ends = cut_points(ids)
-                chunks = [packed(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-                out.append((doc_id, row, len(ids), [hashlib.sha256(c).digest() for c in chunks], np.diff([0, *ends]).tolist(), chunks))
-                row += 1
+            out: list[tuple] = []
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for at in range(0, len(doc_ids), TOGETHER):
+                streams = [np.frombuffer(table.id_bytes(t) + end, "<u4") for t in texts[at : at + TOGETHER].to_pylist()]
+                for ids, ends in zip(streams, cut_together(streams), strict=True):
+                    chunks = [packed(ids[a:b]) for a, b in pairwise([0, *ends])]
+                    out.append((doc_ids[len(out)], row, len(ids), [hashlib.sha256(c).digest() for c in chunks], [b - a for a, b in pairwise([0, *ends])], chunks))
+                    row += 1
             yield _batch(out, [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary())], ENCODED)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ENCODED)
@@ -117,7 +143,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id: i
     """Write chunks, recipes and manifest below ``path``."""
     spark = docs.sparkSession
     at = storage.new_path(spark, "encoded")
-    encoded = storage.write_table(encode_documents(docs, tokenizer, end_id), at)
+    encoded = storage.write_table(encode_documents(docs, tokenizer, end_id), at, "snappy")
     one = F.explode(F.arrays_zip("digests", "sizes", "payloads")).alias("c")
     encoded.select(one).select(F.col("c.digests").alias("digest"), F.col("c.sizes").alias("n_ids"), F.col("c.payloads").alias("payload")).dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
@@ -165,7 +191,7 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """digest, payload of every stored chunk."""
+    """digest, n_ids, payload of every stored chunk."""
     return spark.read.parquet(f"{path}/chunks")
 
 
@@ -232,7 +258,12 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
 
     asked = read_recipes(spark, path).select("doc_id", "row", "part", "start", "n_tokens", "root", "digests", "sizes")
     asked = asked.mapInArrow(refs, "doc_id long, row long, part int, start long, n_tokens long, root binary, digest binary, after long")
-    joined = asked.join(chunk_digests(spark, path), "digest", "left").select("doc_id", "row", "start", "n_tokens", "root", "crc", "after", "n")
+    # chunks that many documents share are few, and go to where the recipes are
+    named = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select(F.explode("digests").alias("digest"))
+    total = spark.read.schema(RECIPES).parquet(f"{path}/recipes").agg(F.sum(F.size("digests"))).first()[0] or 0
+    shared = named.groupBy("digest").agg(F.count("*").alias("refs")).where(F.col("refs") > max(1, total // storage.HEAVY_MOST))
+    sums = chunk_digests(spark, path).join(F.broadcast(shared), "digest", "left").withColumn("refs", F.coalesce("refs", F.lit(0)))
+    joined = storage.joined(asked, storage.staged(sums, "sums"), "digest", "refs", total, "left").select("doc_id", "row", "start", "n_tokens", "root", "crc", "after", "n")
     shifted = joined.mapInArrow(shift, "doc_id long, row long, start long, n_tokens long, root binary, crc long, n long")
     whole = shifted.groupBy("row", "doc_id", "start", "n_tokens", "root").agg(F.expr("bit_xor(crc)").alias("ids_crc32"), F.count("*").alias("n_chunks"), F.sum("n").alias("n"))
     n = F.when(F.col("n") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("chunks do not add up to their document")).cast("long"))
@@ -240,13 +271,21 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start and the whole id stream (array<long>) of every document."""
+    """doc_id, start and the whole id stream (array<long>) of every document; an error where a chunk is missing or is not its digest's."""
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.concatenate([unpacked(p["payload"]) for p in parts]).astype("i8") for parts in batch.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
-
-    asked = read_recipes(spark, path).select("doc_id", "row", "start", F.posexplode("digests").alias("pos", "digest"))
-    parts = asked.join(read_chunks(spark, path), "digest").groupBy("row", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
-    return parts.select("doc_id", "start", "parts").mapInArrow(join_up, "doc_id long, start long, ids array<long>")
+            out = []
+            for n, parts in zip(batch.column("n_tokens").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                for p in parts:
+                    if p["payload"] is None or hashlib.sha256(p["payload"]).digest() != p["digest"]:
+                        raise ValueError(f"chunk {p['digest'].hex()} is missing or damaged")
+                ids = np.concatenate([unpacked(p["payload"]) for p in parts]).astype("i8")
+                if len(ids) != n or [p["pos"] for p in parts] != list(range(len(parts))):
+                    raise ValueError("chunks do not add up to their document")
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
+
+    asked = read_recipes(spark, path).select("doc_id", "row", "start", "n_tokens", F.posexplode("digests").alias("pos", "digest"))
+    parts = asked.join(read_chunks(spark, path).select("digest", "payload"), "digest", "left").groupBy("row", "doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "payload"))).alias("parts"))
+    return parts.select("doc_id", "start", "n_tokens", "parts").mapInArrow(join_up, "doc_id long, start long, ids array<long>")

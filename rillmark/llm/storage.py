@@ -33,9 +33,9 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/rillmark/{label}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, path: str) -> DataFrame:
+def write_table(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to ``path`` and return a frame over the written files."""
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

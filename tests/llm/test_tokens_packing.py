@@ -137,3 +137,26 @@ def test_packed_documents(spark):
     for i, n in enumerate(packing.cut_lengths(len(ids))):
         assert long[i] == (i, at, n, zlib.crc32(np.asarray(ids[at : at + n], "<u4").tobytes()))
         at += n
+
+
+def test_streams_cut_together_are_cut_alike():
+    rng = np.random.default_rng(5)
+    streams = [rng.integers(0, 9000, n).astype("<u4") for n in (1, 5, 127, 128, 129, 600, 20_000, 1, 3000)]
+    streams += [np.full(9000, 7, "<u4"), np.tile(rng.integers(0, 99, 700).astype("<u4"), 9)]
+    assert content_store.cut_together(streams) == [content_store.cut_points(s) for s in streams] and content_store.cut_together([]) == []
+
+
+def test_a_missing_chunk_is_an_error(spark, tmp_path):
+    words = [f"w{i}" for i in range(9000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "short"), (3, None)], "doc_id long, text string")
+    path = f"file://{tmp_path}/store"
+    content_store.write_store(docs, path)
+    assert {r["doc_id"] for r in content_store.reconstruct(spark, path).collect()} == {1, 2, 3}
+    chunks = spark.read.parquet(f"{path}/chunks").orderBy("n_ids").collect()
+    kept = spark.createDataFrame(chunks[1:], spark.read.parquet(f"{path}/chunks").schema)
+    kept.write.mode("overwrite").parquet(f"{path}/chunks2")
+    storage.drop_table(spark, f"{path}/chunks")
+    spark.read.parquet(f"{path}/chunks2").write.parquet(f"{path}/chunks")
+    for read in (content_store.reconstruct, content_store.document_digests):
+        with pytest.raises(Exception, match="missing|not stored|differs"):
+            read(spark, path).collect()
