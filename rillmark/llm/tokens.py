@@ -83,6 +83,8 @@ class PieceEncoder(dict):
         ids = self.before.pop(piece, None)
         if ids is not None:
             pass
+        elif self.lower and piece.isascii() and piece.isalpha():  # letters that byte-level writing leaves as they are
+            ids = array("I", [t.id for t in self.model.tokenize(piece.lower())]).tobytes()
         elif self.whole(piece):
             written = (piece.lower() if self.lower else piece).encode().decode("latin-1").translate(self.letters)
             ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
