@@ -172,11 +172,11 @@ def plain_tex(text: str | None) -> str | None:
         return None
     x = text.replace("\n", "").replace("\\!", "").replace("\\\\", "\\")
     x = re.sub(r"\\[td]frac", r"\\frac", x)
-    x = re.sub(r"\\left|\\right|\^\{\\circ\}|\^\\circ|\\\$|\\%|%", "", x)
+    x = re.sub(r"\\left|\\right|\^\{\\circ\}|\^\\circ|\\\$|\\%", "", x)
     x = x.split("\\text{ ")[0]
     x = re.sub(r"(^|[ {])\.", r"\g<1>0.", x)
     left, _, right = x.partition("=")
-    x = right if right and len(left.strip()) <= 2 and "=" not in right else x
+    x = right if right and len(left) <= 2 and "=" not in right else x
     x = re.sub(r"\\sqrt\s*([^{\s\\])", r"\\sqrt{\1}", x).replace(" ", "")
     x = re.sub(r"\\frac([^{\\])([^{\\])", r"\\frac{\1}{\2}", x)
     x = re.sub(r"\\frac([^{\\])\{", r"\\frac{\1}{", x)

@@ -86,8 +86,8 @@ def rloo_vectorized(df: DataFrame) -> DataFrame:
 
 @register("opo")
 def opo(df: DataFrame, length: str = "length") -> DataFrame:
-    """Against the length-weighted mean; a single sample against 0."""
-    base = _of_group(F.sum(F.col(length) * F.col("score"))) / _of_group(F.sum(length))
+    """Against the length-weighted mean; a single sample, or a group without length, against 0."""
+    base = F.coalesce(F.try_divide(_of_group(F.sum(F.col(length) * F.col("score"))), _of_group(F.sum(length))), F.lit(0.0))
     return df.withColumn("advantage", F.col("score") - F.when(_of_group(F.count("score")) > 1, base).otherwise(F.lit(0.0)))
 
 

@@ -100,8 +100,8 @@ def compare(candidate: DataFrame, baseline: DataFrame, metrics: list[str]) -> Da
 
 
 def variation(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Coefficient of variation in percent, per key."""
-    return df.groupBy(key).agg((F.lit(100.0) * F.stddev_pop(value) / F.avg(value)).alias("cv"))
+    """Coefficient of variation in percent, per key; null where the mean is 0."""
+    return df.groupBy(key).agg((F.lit(100.0) * F.stddev_pop(value) / F.nullif(F.avg(value), F.lit(0.0))).alias("cv"))
 
 
 def inclusive_percentile(null_scores: DataFrame, observed: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,13 @@ def staged(df: DataFrame) -> DataFrame:
     of a range partitioning are sampled anew each time.
     """
     spark = df.sparkSession
+    path = staging_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def staging_path(spark: SparkSession) -> str:
+    """A new path below the shared folder; a folder of this machine only where it is the only one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -23,9 +30,7 @@ def staged(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='rillmark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/rillmark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{root.rstrip('/')}/rillmark/{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame) -> DataFrame:
