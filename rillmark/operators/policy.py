@@ -13,6 +13,7 @@ from rillmark.functions.arrays import EPSILON, clip, masked_sum, total
 from rillmark.operators.correction import tokens
 from rillmark.operators.losses import aggregate_loss
 from rillmark.operators.routing import quantile
+from rillmark.sources.staging import staged
 
 BUCKETS = 1024
 
@@ -62,7 +63,7 @@ def with_covariance(rows: DataFrame, epsilon: float = 0.0) -> DataFrame:
 
 def kl_cov(df: DataFrame, ratio: float = 0.0002, coefficient: float = 1.0, key: str = "uid") -> DataFrame:
     """loss, kl: the plain surrogate, with an absolute-difference penalty on the tokens of greatest covariance."""
-    rows = with_covariance(token_rows(df, key))
+    rows = staged(with_covariance(token_rows(df, key)))
     n = rows.count()
     rows = top_rows(rows, "cov", max(1, int(n * ratio)) if n and ratio else 0, key, "pos")
     d = F.col("new") - F.col("old")
@@ -76,7 +77,7 @@ def clip_cov(df: DataFrame, ratio: float = 0.0002, low: float = 1.0, high: float
 
     The tokens are drawn by a hash of their place, so the draw repeats.
     """
-    rows = with_covariance(token_rows(df, key), EPSILON)
+    rows = staged(with_covariance(token_rows(df, key), EPSILON))
     d = F.col("new") - F.col("old")
     first, second = -F.col("adv") * F.exp(d), -F.col("adv") * clip(F.exp(d), 1 - clip_low, 1 + clip_high)
     open_ = (F.col("cov") > low) & (F.col("cov") < high) & ~(second > first)
@@ -169,6 +170,28 @@ def distillation(df: DataFrame, drop: float = 0.1, alpha: float = 1.0, beta: flo
     )
 
 
+def flow_balance(df: DataFrame, log_z: Column, beta: float = 15.0, low: float = 0.2, high: float = 0.28) -> DataFrame:
+    """loss, dropped_share, weight, kl: squared flow residual of a sequence times its clipped importance weight.
+
+    Arrays: new, old, teacher (log probabilities), token_reward, mask.  Tokens are dropped where the
+    ratio is beyond 1 + high and the reward positive, or below 1 - low and the reward negative.
+    """
+    m = F.col("mask")
+    zipped = F.arrays_zip("new", "old", "token_reward", "mask")
+    ratio = lambda z: F.exp(z["new"] - z["old"])
+    beyond = lambda z: ((z["token_reward"] > 0) & (ratio(z) > 1 + high)) | ((z["token_reward"] < 0) & (ratio(z) < 1 - low))
+    rows = df.withColumn("__k", F.transform(zipped, lambda z: F.when(beyond(z), F.lit(0.0)).otherwise(z["mask"].cast("double"))))
+    n = total(F.col("__k")) + F.lit(EPSILON)
+    mean = lambda c: masked_sum(F.col(c), F.col("__k")) / n
+    gap = F.zip_with("new", "old", lambda a, b: a - b)
+    own = rows.select(
+        (log_z + mean("new") - F.lit(beta) * mean("token_reward") - mean("teacher")).alias("delta"), clip(F.exp(masked_sum(gap, F.col("__k"))), 1 - low, 1 + high).alias("w"),
+        tokens(m).alias("n"), total(F.col("__k")).alias("k"), masked_sum(gap, m).alias("d"),
+    )
+    whole = F.sum("n") + F.lit(EPSILON)
+    return own.agg(F.avg(F.col("w") * F.col("delta") * F.col("delta")).alias("loss"), ((F.sum("n") - F.sum("k")) / whole).alias("dropped_share"), F.avg("w").alias("weight"), (-F.sum("d") / whole).alias("kl"))
+
+
 def penalised(rewards: Column, divergence: Column, coefficient: float) -> Column:
     """Token rewards less the coefficient times the token's divergence."""
     return F.zip_with(rewards, divergence, lambda r, k: r - F.lit(coefficient) * k)

@@ -215,6 +215,14 @@ def batch_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(policy.divergence_of(rows))
 
 
+@register(f"""{TOKENS}, c AS (SELECT *, exp(new - old) AS ratio FROM t), k AS (SELECT *, CASE WHEN (adv > 0 AND ratio > 1.03) OR (adv < 0 AND ratio < 0.98) THEN 0 ELSE mask END AS keep FROM c),
+s AS (SELECT uid, 0.1 + sum(new * keep) / (sum(keep) + 1e-8) - 0.5 * sum(adv * keep) / (sum(keep) + 1e-8) - sum(value * keep) / (sum(keep) + 1e-8) AS delta, greatest(0.98, least(1.03, exp(sum((new - old) * keep)))) AS w, sum(mask) AS n, sum(keep) AS k, sum((new - old) * mask) AS d FROM k GROUP BY uid)
+SELECT {in_sql({'loss': 'avg(w * delta * delta)', 'dropped_share': '(sum(n) - sum(k)) / (sum(n) + 1e-8)', 'weight': 'avg(w)', 'kl': '-sum(d) / (sum(n) + 1e-8)'})} FROM s""")
+def flow_balance_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_tokens(spark, sf_dir).withColumns({"teacher": F.col("values"), "token_reward": F.col("advantages")})
+    return rounded(policy.flow_balance(rows, F.lit(0.1), 0.5, 0.02, 0.03))
+
+
 # ---- metrics
 
 
