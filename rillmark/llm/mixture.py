@@ -10,7 +10,7 @@ The draw is a keyed hash of doc_id and text, so it is the same in every run.
 The cell table is small beside the corpus, but nothing bounds it: up to ``CELLS_MOST`` cells it is
 raked on the driver and broadcast, beyond that by grouped aggregation, staged every round.
 
-Defined cases: null source, language or topic is a category of its own; a null or empty text has no
+Defined cases: repeated rows (the same doc_id and text) are kept or dropped together, as the draw is theirs; null source, language or topic is a category of its own; a null or empty text has no
 tokens and its cell's probability; targets of categories that do not occur are shared among those
 that do; a category without target gets none and its documents are not drawn; an empty table gives
 no rows; columns of the input are kept unless they clash with those added.

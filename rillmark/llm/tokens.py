@@ -5,6 +5,8 @@ places where the pre-tokenizer surely separates, each distinct piece encoded onc
 and the results joined.  Pieces are cut only between ASCII or Latin-1 letters, ASCII digits, ASCII
 punctuation (apostrophes apart) and white space; anything else goes to the library as a whole
 blank-free chunk.  A vocabulary whose pre-tokenizer is unknown gets whole texts.
+
+Defined cases: a null or empty text has no ids; texts of any length are taken whole.
 """
 
 from __future__ import annotations
