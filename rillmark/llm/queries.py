@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillmark.llm import content_store, jpeg, language, mixture, packing, quality, secrets, simhash, storage, surrogates, topk
+from rillmark.llm import content_store, expiry, jpeg, language, mixture, packing, quality, runs, secrets, simhash, storage, surrogates, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op10_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op12_expiring_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expiry.windows(_table(spark, sf_dir, "clicks"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_content_store,
     op2_impact_ordered_top_k,
@@ -66,6 +74,8 @@ QUERIES = (
     op8_subword_quality,
     op9_keyed_surrogates,
     op10_token_efficiency_secrets,
+    op12_expiring_clicks,
+    op13_periodic_runs,
 )
 
 #: DuckDB: the scores of op2 need no index to state.
