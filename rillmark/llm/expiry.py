@@ -91,7 +91,7 @@ def write_batches(clicks: DataFrame, root: str, batches: int = BATCHES, group_ro
     once = all_copies.select(batch.alias("batch"), part.alias("part"), "click_id", "hour", told.alias("h")).groupBy("batch", "part", "click_id", "hour", "h").agg(F.count("*").alias("n"))
     once = once.select("batch", "part", "click_id", "hour", F.unhex("h").alias("hash"), F.crc32("h").alias("crc"), "n")
     once.write.partitionBy("batch").parquet(root)
-    end = spark.range(1).select(F.lit(None).cast("int").alias("part"), F.lit(None).cast("long").alias("click_id"), F.lit(last + SPAN + LATE + 2).cast("long").alias("hour"), F.lit(None).cast("binary").alias("hash"), F.lit(0).cast("long").alias("crc"), F.lit(0).cast("long").alias("n"))
+    end = spark.range(1).select(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("click_id"), F.lit(last + SPAN + LATE + 2).cast("long").alias("hour"), F.lit(b"").alias("hash"), F.lit(0).cast("long").alias("crc"), F.lit(0).cast("long").alias("n"))
     end.write.parquet(f"{root}/batch={batches}")
     return first
 
@@ -183,8 +183,8 @@ class Expiry(StatefulProcessor):
             yield pd.DataFrame({c.split()[0]: v for c, v in zip(CLOSED.split(", "), values, strict=True)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts = [p for p in rows if key[0] is not None and p["click_id"].notna().all()]
-        if not parts:  # the sentinel
+        parts = list(rows)
+        if key[0] < 0:  # the sentinel
             return
         held = self.state.get()
         open_ = np.frombuffer(held[1], WINDOW) if held else np.zeros(0, WINDOW)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillmark.llm import content_store, expiry, jpeg, language, mixture, packing, quality, runs, secrets, simhash, storage, surrogates, topk
+from rillmark.llm import content_store, expiry, jpeg, language, mixture, packing, quality, quantised, runs, secrets, simhash, storage, surrogates, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_quantised_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_expiring_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expiry.windows(_table(spark, sf_dir, "clicks"))
 
@@ -74,6 +78,7 @@ QUERIES = (
     op8_subword_quality,
     op9_keyed_surrogates,
     op10_token_efficiency_secrets,
+    op11_quantised_near_duplicates,
     op12_expiring_clicks,
     op13_periodic_runs,
 )
