@@ -38,6 +38,8 @@ from rillmark.llm import storage
 BATCHES, SPAN, LATE = 10, 48, 24
 #: Rows of the table in a group of click ids, about.
 GROUP_ROWS = 16_384
+#: Groups in a task of the stream, about: a store of its own costs every task of every batch some tenths of a second.
+GROUPS_A_TASK = 16
 HOUR_MS = 3_600_000
 #: Event time begins here, so that the first hour lies well after the watermark's own beginning.
 FIRST_HOUR = 1_000
@@ -75,10 +77,10 @@ def copies(clicks: DataFrame) -> DataFrame:
     return each.withColumn("later", F.col("hour") + F.floor(F.col("c") / 10) % 200)
 
 
-def write_batches(clicks: DataFrame, root: str, batches: int = BATCHES, group_rows: int = GROUP_ROWS) -> int | None:
-    """Write the copies below ``root`` as batch=0, batch=1, ... and the sentinel as the one after; the first hour.
+def write_batches(clicks: DataFrame, root: str, batches: int = BATCHES, group_rows: int = GROUP_ROWS) -> tuple[int, int] | None:
+    """Write the copies below ``root`` as batch=0, batch=1, ... and the sentinel as the one after.
 
-    None if there are no copies.
+    Returns the first hour and the number of groups, or None if there are no copies.
     """
     spark = clicks.sparkSession
     all_copies = copies(clicks)
@@ -86,14 +88,15 @@ def write_batches(clicks: DataFrame, root: str, batches: int = BATCHES, group_ro
     if low is None:
         return None
     batch = F.floor((F.col("later") - F.lit(low)) * F.lit(batches) / F.lit(high - low + 1)).cast("int")
-    part = F.pmod(F.xxhash64("click_id"), F.lit(max(1, -(-rows // group_rows)))).cast("int")
+    groups = -(-rows // group_rows)
+    part = F.pmod(F.xxhash64("click_id"), F.lit(groups)).cast("int")
     told = F.sha2(F.concat_ws("|", "told", F.col("c") % 3), 256)
     once = all_copies.select(batch.alias("batch"), part.alias("part"), "click_id", "hour", told.alias("h")).groupBy("batch", "part", "click_id", "hour", "h").agg(F.count("*").alias("n"))
     once = once.select("batch", "part", "click_id", "hour", F.unhex("h").alias("hash"), F.crc32("h").alias("crc"), "n")
     once.write.partitionBy("batch").parquet(root)
     end = spark.range(1).select(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("click_id"), F.lit(last + SPAN + LATE + 2).cast("long").alias("hour"), F.lit(b"").alias("hash"), F.lit(0).cast("long").alias("crc"), F.lit(0).cast("long").alias("n"))
     end.write.parquet(f"{root}/batch={batches}")
-    return first
+    return first, groups
 
 
 # ---- the fold
@@ -215,12 +218,16 @@ def windows(clicks: DataFrame, batches: int = BATCHES, span: int = SPAN, late: i
     """click_id, start_hour, closed_batch, n_repeats, n_conflicts, conflict_crc, hash of every window."""
     spark = clicks.sparkSession
     root = storage.new_path(spark, "clicks")
-    base = write_batches(clicks, f"{root}/in", batches, group_rows)
-    if base is None:
+    written = write_batches(clicks, f"{root}/in", batches, group_rows)
+    if not written:
         return spark.createDataFrame([], CLOSED).withColumn("hash", F.hex("hash"))
+    base, groups = written
     session = spark.newSession()  # the settings of the stream are not the user's
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS_A_TASK))
+    settings = {"providerClass": ROCKS, "rocksdb.changelogCheckpointing.enabled": "true", "rocksdb.allowFAllocate": "false"}
+    for key, value in settings.items():
+        session.conf.set(f"spark.sql.streaming.stateStore.{key}", value)
+    session.conf.set("spark.sql.shuffle.partitions", str(parts))
     session.conf.set("spark.sql.session.timeZone", "UTC")
     for batch in range(batches):
         run_batch(session, root, base, batch, batches, span, late)
