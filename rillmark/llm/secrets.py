@@ -41,7 +41,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-_IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,6})(?:[-_/=+]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,6}))*[-_/=+]*")
+_PARTS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
 
 Span = tuple[int, int, int]
 
@@ -61,12 +61,21 @@ def stated_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def is_identifier(run: str) -> bool:
+    """Words (of one case, or capitalised) and numbers, with marks between and after them; no letter stands alone."""
+    parts = _PARTS.findall(run)
+    for part, following in zip(parts, [*parts[1:], ""], strict=True):
+        if len(part) == 1 and (part.islower() or part.isupper() and not following[:1].islower()):
+            return False
+    return bool(parts) and parts[0].isalnum()
+
+
 def is_known(run: str) -> bool:
     """Digests, UUIDs and identifiers made of words and numbers."""
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run) and len(run) in DIGEST_LENGTHS or _UUID.fullmatch(run):
         return True
     parts = re.findall(r"[A-Za-z]+|[0-9]+", run)
-    return bool(_IDENTIFIER.fullmatch(run)) and len(run) / max(1, len(parts)) >= 4
+    return len(run) >= 4 * max(1, len(parts)) and is_identifier(run)
 
 
 def random_spans(text: str, encoding: tiktoken.Encoding, ratio: float = RATIO) -> list[Span]:
