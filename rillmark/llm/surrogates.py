@@ -10,8 +10,8 @@ keyed order", no entity is its own surrogate.
 Known given names become other given names of their script and gender and known surnames other
 surnames, by a permutation of the list; other name words are permuted letter by letter, vowels to
 vowels in their own script, keep their last letter (which often carries the gender) and never
-become a listed name.  Titles stay.  Card numbers keep their checksum's validity; IBANs get valid
-check digits; phones keep their country code, and a ten-digit one without code is taken as +1.
+become a listed name.  Titles stay.  Card numbers keep their checksum's validity, and IBANs how far
+their check digits are from the right ones; phones keep their country code, and a ten-digit one without code is taken as +1.
 
 A grouped count over all replaced entities checks that no two met in one surrogate; if some did,
 all are drawn again under the next key derived from the user's.  The key is the user's: there is
@@ -63,7 +63,7 @@ LISTED = {word: (label, [w for w in words if next(k for k, v in _LISTS.items() i
 TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][a-zà-öø-ÿа-яёα-ωά-ώ]+"
 _PATTERNS = {
-    "email": re.compile(r"[\w%+](?:[\w.%+-]*[\w%+-])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    "email": re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),  # what comes before is read backwards
     "phone": re.compile(r"(?<![\w+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?!\d)"),
     "ip": re.compile(rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)", re.ASCII),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
@@ -71,10 +71,12 @@ _PATTERNS = {
     "card": re.compile(r"(?<![\d.])(?<![0-9a-f][0-9a-f])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7})(?!\d)(?![0-9a-f][0-9a-f])"),
     "person": re.compile(rf"(?<!\w)(?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ({_NAME}(?:[ -]{_NAME}){{0,2}})|((?:{'|'.join(w for k, v in _LISTS.items() if k[0] == 'g' for w in v)})(?:[ -]{_NAME}){{1,2}}))(?!\w)"),
 }
+_LOCAL, _LOCAL_FIRST = re.compile(r"[\w.%+-]*"), re.compile(r"[\w%+]")
 #: Sets within which a character is replaced.
 _VOWELS = ("aeiou", "AEIOU", "аеиоу", "АЕИОУ", "αεηιο", "ΑΕΗΙΟ", "àáâãäèéêëìíîïòóôõöùúûü", "ÀÁÂÃÄÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜ")
 _CONSONANTS = ("bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ", "бвгджзклмнпрстфхцчшщ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "βγδζθκλμνξπρστφχψ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ")
 _DIGITS = "0123456789"
+PERMUTED = 64
 SPOKEN = {c: s for s in (*_VOWELS, *_CONSONANTS, _DIGITS) for c in s}
 WRITTEN = {c: s for s in (_VOWELS[0] + _CONSONANTS[0], _VOWELS[1] + _CONSONANTS[1], _VOWELS[2] + _CONSONANTS[2], _VOWELS[3] + _CONSONANTS[3], _VOWELS[4] + _CONSONANTS[4], _VOWELS[5] + _CONSONANTS[5], _VOWELS[6], _VOWELS[7], _DIGITS) for c in s}
 
@@ -113,7 +115,12 @@ class Permutation:
 
 
 def permuted(key: bytes, kind: str, text: str, sets: dict[str, str]) -> str:
-    """The surrogate among all texts of the same format: each character of a set, within its set."""
+    """The surrogate among all texts of the same format: each character of a set, within its set.
+
+    A text of more than ``PERMUTED`` characters is replaced in pieces of that size, each by its place.
+    """
+    if len(text) > PERMUTED:
+        return "".join(permuted(key, f"{kind}:{i}", text[i : i + PERMUTED], sets) for i in range(0, len(text), PERMUTED))
     form = "".join(sets[c][0] if c in sets else c for c in text)
     n, x = 1, 0
     for c in text:
@@ -139,10 +146,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_check(country: str, body: str) -> int:
+    """The check digits that belong to a country and an account."""
+    return 98 - int("".join(str(int(c, 36)) for c in body + country) + "00") % 97
+
+
 def canonical(kind: str, text: str) -> str:
     """The value that all writings of an entity share."""
     if kind == "email":
-        return text.lower()
+        return "".join(low if len(low := c.lower()) == 1 else c for c in text)
     if kind == "phone":
         digits = re.sub(r"\D", "", text)
         return f"+{digits}" if text.startswith("+") else f"+1{digits}"
@@ -181,8 +193,8 @@ def image(kind: str, value: str, key: bytes) -> str:
     if kind == "iban":
         letters = {c: s for s in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", _DIGITS) for c in s}
         body = permuted(key, f"iban{value[:2]}", value[4:], letters)
-        number = "".join(str(int(c, 36)) for c in body + value[:2]) + "00"
-        return f"{value[:2]}{98 - int(number) % 97:02d}{body}"
+        off = int(value[2:4]) - iban_check(value[:2], value[4:])
+        return f"{value[:2]}{(iban_check(value[:2], body) + off) % 100:02d}{body}"
     if kind == "card":
         valid, out = luhn(value), value
         while True:
@@ -197,7 +209,7 @@ def image(kind: str, value: str, key: bytes) -> str:
 def written(kind: str, text: str, value: str) -> str:
     """``value`` in the writing of ``text``: its blanks, marks and case."""
     if kind == "email":
-        return "".join(c.upper() if t.isupper() else c for t, c in zip(text, value, strict=True))
+        return "".join(up if t.isupper() and len(up := c.upper()) == 1 else c for t, c in zip(text, value, strict=True))
     if kind == "phone":
         digits = iter(value[1:] if text.startswith("+") else value[2:])
     elif kind in ("card", "national_id", "iban"):
@@ -212,6 +224,17 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
     return written(kind, text, image(kind, canonical(kind, text), key))
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of e-mail addresses: from each @ forwards and backwards, never beyond the one before."""
+    last = 0
+    for m in _PATTERNS["email"].finditer(text):
+        begin = max(last, text.rfind("@", 0, m.start()) + 1)
+        run = _LOCAL.match(text[begin : m.start()][::-1]).end()
+        if run and text[m.start() - 1] != "." and (first := _LOCAL_FIRST.search(text, m.start() - run, m.start())):
+            yield first.start(), m.end()
+            last = m.end()
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of entities, none overlapping; kinds listed first go first."""
     digits = any(map(text.__contains__, _DIGITS))
@@ -220,8 +243,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if kind == "email" and "@" not in text or kind not in ("email", "person") and not digits:
             continue
         found = []
-        for m in pattern.finditer(text):
-            s, e = m.span(m.lastindex) if kind == "person" else m.span()
+        spans = emails(text) if kind == "email" else (m.span(m.lastindex or 0) for m in pattern.finditer(text))
+        for s, e in spans:
             i = bisect_left(out, (s,))
             if (i == 0 or out[i - 1][1] <= s) and (i == len(out) or e <= out[i][0]):
                 found.append((s, e, kind))
