@@ -89,10 +89,10 @@ WITH n AS (
   SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
 ), v AS (
   SELECT row, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM n
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
 ), s AS (
-  SELECT q.row AS row, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+  SELECT q.row AS row, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(coalesce(list_sum([z[1] * z[2] FOR z IN list_zip(q.e, c.e)]), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.row <> c.row
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s

@@ -14,8 +14,8 @@ those rows are rescored exactly.  A shard that no row of which can reach it is l
 Shards and blocks of queries are bounded rows of bytes that meet in an equi-join on a group of
 shards; a task goes through a group's shards in turn and carries the best scores along.
 
-Defined cases: vectors that are null, empty, or hold null or non-finite components take no part,
-nor do rows without a vec_id; rows that repeat a vec_id are candidates and queries of their own;
+Defined cases: vectors that are null or hold null or non-finite components take no part, nor do
+rows without a vec_id; an empty vector scores 0 with all; rows that repeat a vec_id are candidates and queries of their own;
 shorter vectors are as if filled up with zeros; ties go to the smaller vec_id; an empty table
 gives no rows; other columns are not read.  Scores are exact below 2^53.
 """
@@ -44,7 +44,7 @@ FOUND = "row long, query_id long, vec_id long, score long"
 def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """row, vec_id, v (array<long>) of the rows that take part."""
     x = F.col("embedding").cast("array<double>")
-    fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size(x) > 0)
+    fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
     fine &= ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     v = F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long"))
     return vectors.where(fine).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
@@ -151,7 +151,7 @@ class Search:
 
 
 def _filled(rows: list[list[int]]) -> np.ndarray:
-    out = np.zeros((len(rows), max(map(len, rows))), np.int64)
+    out = np.zeros((len(rows), max(1, *map(len, rows))), np.int64)
     for i, row in enumerate(rows):
         out[i, : len(row)] = row
     return out

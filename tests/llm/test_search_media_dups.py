@@ -59,12 +59,12 @@ def test_search_stops_early():
 
 def test_top_k_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(i, [i / 7, 1.0 - i]) for i in range(45)] + [(None, [1.0, 1.0]), (60, None), (80, [nan, 1.0]), (100, [inf, 1.0]), (120, [None, 1.0]), (140, []), (160, [2.0]), (0, [0.0, 1.0]), (41, [1e9, 5.0])]
+    rows = [(i, [i / 7, 1.0 - i]) for i in range(45)] + [(None, [1.0, 1.0]), (60, None), (80, [nan, 1.0]), (100, [inf, 1.0]), (120, [None, 1.0]), (140, []), (160, [2.0]), (141, []), (0, [0.0, 1.0]), (41, [1e9, 5.0])]
     df = spark.createDataFrame([(i, v, 3, "x") for i, v in rows], "vec_id long, embedding array<double>, rank int, score string")
     got = topk.top_k(df).collect()
     v = []
     for i, x in rows:
-        if i is not None and x and all(c is not None and np.isfinite(c) for c in x):
+        if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x):
             x = [int(np.floor(64 * c)) for c in x]
             v.append((i, x + [0] * (2 - len(x))))
     want = []
