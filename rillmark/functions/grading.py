@@ -19,6 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
+from rillmark.functions import algebra
 from rillmark.functions.text import boxed, last_match
 
 # Instructions that prompts end with, and wordings of built prompts.
@@ -111,7 +112,8 @@ def equal_answers(a: str | None, b: str | None, tolerance: float = 1e-4, percent
         return equal_answers(sides[0][1], b, tolerance, percent)
     if len(sides[1]) == 2 and len(sides[0]) == 1 and len(sides[1][0].strip()) <= 2:
         return equal_answers(a, sides[1][1], tolerance, percent)
-    return False
+    (p, x), (q, y) = algebra.keyed(a), algebra.keyed(b)
+    return p is not None and q is not None and (p == q or x is not None and y is not None and math.isclose(x, y, rel_tol=tolerance))
 
 
 @F.pandas_udf(BooleanType())
