@@ -152,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, seed: int
         yield pa.RecordBatch.from_arrays([pa.array([model.share.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], ["share", "bias"])
 
     # the sample is bounded by its parameter, so one task holds it
-    sampled = rows.mapInArrow(bags, "at long, doc_id long, y int, ids binary, counts binary").repartition(1)
+    bagged = rows.mapInArrow(bags, "at long, doc_id long, y int, ids binary, counts binary")
+    sampled = bagged.orderBy("at", "doc_id", "y", "ids", "counts").limit(sample)  # also where a doc_id has many rows
     got = sampled.mapInArrow(learn, "share binary, bias double").first()
     if got is None:  # nothing to learn from
         return train([], [], seed)
