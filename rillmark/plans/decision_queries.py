@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.operators import decisions, labels
+from rillmark.operators import decisions, labels, projection
 from rillmark.operators.decisions import Gate, Range, Rule
 from rillmark.plans.queries import register
 from rillmark.plans.rollouts import table
@@ -61,3 +61,8 @@ def mixed_group_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numeric_group_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" 00"), F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string"))
     return labels.group_codes(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uid"), text.alias("label")), "label").drop("label")
+
+
+@register(None)  # tested against a plain loop: SQL has no such generator
+def projected_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.project(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 32, seed=11)

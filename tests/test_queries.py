@@ -33,7 +33,7 @@ def place(row):
     return repr([round(v, 5) + 0.0 if isinstance(v, float) else v for v in row])
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, db, name):
     df = QUERIES[name](spark, SF)
     rel = db.execute(SQL[name])
