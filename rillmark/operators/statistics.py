@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillmark.operators.quantiles import quantiles
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, float)
@@ -124,8 +126,15 @@ def gate(percentiles: dict[str, dict[int, float]], go: float = 0.95, stop: float
 def cluster_sizes(labels: DataFrame, clusters: int) -> DataFrame:
     """Statistics of cluster sizes, empty clusters counted as zero."""
     counts = labels.sparkSession.range(clusters).withColumnRenamed("id", "label").join(labels.groupBy("label").agg(F.count("*").alias("n")), "label", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
-    q = F.percentile("n", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return counts.agg(F.min("n").alias("least"), q.alias("q"), F.avg("n").alias("mean"), F.max("n").alias("most"), F.avg((F.col("n") == 1).cast("double")).alias("singletons"), (F.max("n") / F.sum("n")).alias("largest")).select("least", F.col("q")[0].alias("median"), "mean", F.col("q")[1].alias("p90"), F.col("q")[2].alias("p99"), "most", "singletons", "largest")
+    plain = counts.agg(F.min("n").alias("least"), F.avg("n").alias("mean"), F.max("n").alias("most"), F.avg((F.col("n") == 1).cast("double")).alias("singletons"), (F.max("n") / F.sum("n")).alias("largest"))
+    met = _with_quantiles(plain, counts, "n", [0.5, 0.9, 0.99])
+    return met.select("least", F.col("q")[0].alias("median"), "mean", F.col("q")[1].alias("p90"), F.col("q")[2].alias("p99"), "most", "singletons", "largest")
+
+
+def _with_quantiles(row: DataFrame, df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """The one row of an aggregate and ``q``, the exact quantiles of a column, null if there are none."""
+    q = quantiles(df, [], column, shares).select("q", F.lit(0).alias("__one"))
+    return row.withColumn("__one", F.lit(0)).join(q, "__one", "left").drop("__one")
 
 
 def nearest_rank(values: Sequence[float], q: float) -> float:
@@ -135,8 +144,8 @@ def nearest_rank(values: Sequence[float], q: float) -> float:
 
 def length_summary(df: DataFrame, column: str) -> DataFrame:
     points = [0.5, 0.9, 0.95, 0.99, 0.999]
-    q = F.percentile(column, F.array(*[F.lit(p) for p in points]))
-    out = df.agg(F.count(column).alias("n"), F.min(column).alias("least"), F.avg(column).alias("mean"), q.alias("q"), F.max(column).alias("most"))
+    plain = df.agg(F.count(column).alias("n"), F.min(column).alias("least"), F.avg(column).alias("mean"), F.max(column).alias("most"))
+    out = _with_quantiles(plain, df, column, points)
     return out.select("n", "least", "mean", *[F.col("q")[i].alias(f"p{100 * p:g}".replace(".", "_")) for i, p in enumerate(points)], "most")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rillmark.operators.quantiles import quantiles
+
 
 def samples(spark: SparkSession, path: str, schema: str, per_trigger: int = 8) -> DataFrame:
     """A stream of sample files; ``per_trigger`` is the back-pressure."""
@@ -84,5 +86,6 @@ class Staleness:
 
 def version_spread(df: DataFrame) -> DataFrame:
     """Per batch: samples, distinct versions, share that span versions, processing-time quantiles."""
-    q = F.percentile("seconds", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy("batch").agg(F.count("*").alias("n"), F.countDistinct("version_end").alias("versions"), F.avg((F.col("version_start") != F.col("version_end")).cast("double")).alias("partial"), q.alias("seconds"))
+    q = quantiles(df, ["batch"], "seconds", [0.5, 0.95, 0.99]).select("batch", F.col("q").alias("seconds"))
+    plain = df.groupBy("batch").agg(F.count("*").alias("n"), F.countDistinct("version_end").alias("versions"), F.avg((F.col("version_start") != F.col("version_end")).cast("double")).alias("partial"))
+    return plain.alias("a").join(q.alias("b"), F.col("a.batch").eqNullSafe(F.col("b.batch")), "left").select("a.*", "b.seconds")
