@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.operators import agreement
+from rillmark.operators import agreement, ranks
 from rillmark.operators.quantiles import quantiles
 from rillmark.plans.queries import register
 from rillmark.plans.rollouts import table
@@ -63,3 +63,25 @@ def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def user_value_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quantiles(table(spark, sf_dir, "events"), ["user_id"], "value", [0.25, 0.5, 0.75], interpolate=False)
     return got.select("user_id", "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("low", "middle", "high"))])
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "orders")
+    return lines.select(F.col("o_orderkey").alias("row_id"), F.floor(F.col("o_totalprice") / 50).cast("long").alias("length"))
+
+
+@register("""WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice / 50) AS BIGINT) AS n FROM orders), c AS (SELECT count(*) AS n, max(n) AS most FROM o),
+  r AS (SELECT unnest(range(8)) AS rank) SELECT CAST(rank AS INT) AS rank, (n + 7) // 8 AS most_rows, true AS whole, true AS even, true AS both_ends FROM r, c""")
+def even_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per rank: the size it may have, whether positions are gapless, work within one sequence's of the mean, and lengths rise then fall."""
+    rows = _numbered(spark, sf_dir)
+    n = rows.count()
+    size = -(-n // 8)
+    got = ranks.balanced_ranks(rows, 8, exact=False).join(rows, "row_id")
+    most = rows.agg(F.max(ranks.workload(F.col("length")))).first()[0]
+    mean = rows.agg(F.sum(ranks.workload(F.col("length")))).first()[0] / 8
+    by = got.groupBy("rank").agg(F.count("*").alias("n"), F.countDistinct("position").alias("d"), F.max("position").alias("last"), F.sum(ranks.workload(F.col("length"))).alias("work"))
+    longest = got.groupBy("rank").agg(F.max_by("position", F.struct("length", "row_id")).alias("top"))
+    middle = F.col("top") == F.floor(F.col("n") / 2)
+    whole = (F.col("n") == F.col("d")) & (F.col("last") == F.col("n") - 1) & F.col("n").between(size - 1, size)
+    return by.join(longest, "rank").select("rank", F.lit(size).cast("long").alias("most_rows"), whole.alias("whole"), (F.abs(F.col("work") - mean) <= most).alias("even"), middle.alias("both_ends"))
