@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.operators import agreement, ranks
+from rillmark.operators import agreement, covers, ranks
 from rillmark.operators.quantiles import quantiles
 from rillmark.plans.queries import register
 from rillmark.plans.rollouts import table
@@ -85,3 +85,34 @@ def even_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = F.col("top") == F.floor(F.col("n") / 2)
     whole = (F.col("n") == F.col("d")) & (F.col("last") == F.col("n") - 1) & F.col("n").between(size - 1, size)
     return by.join(longest, "rank").select("rank", F.lit(size).cast("long").alias("most_rows"), whole.alias("whole"), (F.abs(F.col("work") - mean) <= most).alias("even"), middle.alias("both_ends"))
+
+
+_EDGES_SQL = """e AS (SELECT DISTINCT l_suppkey AS task, l_partkey % 60 AS test, l_returnflag || ':' || strftime(l_shipdate, '%Y%m') AS item FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL AND l_returnflag IS NOT NULL AND l_shipdate IS NOT NULL)"""
+_GREEDY_SQL = """t AS (SELECT task, test, list(item) AS items FROM e GROUP BY ALL),
+  g AS (SELECT task, -1 AS place, CAST(NULL AS BIGINT) AS test, CAST(0 AS BIGINT) AS gain, list(DISTINCT item) AS rest FROM e GROUP BY task
+    UNION ALL SELECT task, place + 1, test, gain, list_filter(rest, lambda x: NOT list_contains(items, x)) FROM
+      (SELECT g.task, g.place, t.test, t.items, g.rest, len(list_intersect(t.items, g.rest)) AS gain, row_number() OVER (PARTITION BY g.task ORDER BY len(list_intersect(t.items, g.rest)) DESC, t.test) AS n FROM g JOIN t USING (task) WHERE len(g.rest) > 0) z WHERE n = 1)"""
+
+
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumn("test", F.col("l_partkey") % 60)
+    return covers.cover_edges(lines, "l_suppkey", "test", "l_returnflag", F.date_format("l_shipdate", "yyyyMM"))
+
+
+@register(f"WITH RECURSIVE {_EDGES_SQL}, {_GREEDY_SQL} SELECT task, test, place, gain FROM g WHERE place >= 0")
+def greedy_test_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covers.greedy_covers(_shown(spark, sf_dir))
+
+
+@register("""WITH c AS (SELECT l_suppkey AS task, l_partkey % 60 AS test, min(CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_returnflag = 'A' THEN 1 ELSE 2 END) AS source FROM lineitem GROUP BY ALL),
+  f AS (SELECT l_suppkey AS task, l_partkey % 60 AS test, CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS source, min(l_linenumber) AS place FROM lineitem GROUP BY ALL) SELECT task, test, source, place FROM c JOIN f USING (task, test, source)""")
+def merged_test_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task"), (F.col("l_partkey") % 60).alias("test"), F.col("l_linenumber").alias("place"), "l_returnflag")
+    return covers.merged_covers([lines.where(F.col("l_returnflag") == flag) for flag in "RA"] + [lines.where("l_returnflag NOT IN ('R', 'A')")])
+
+
+@register("""SELECT round(avg(n_base + coalesce(extra, 0)), 9) AS average, count(*) AS tasks FROM (SELECT s_suppkey AS task, s_nationkey AS n_base FROM supplier) s LEFT JOIN (SELECT l_suppkey AS task, count(*) AS extra FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) c USING (task)""")
+def average_test_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("task"), F.col("s_nationkey").alias("n_base"))
+    got = covers.average_tests(base, table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("task")))
+    return got.withColumn("average", F.round("average", 9))
