@@ -9,6 +9,7 @@ from rillmark.operators import agreement, covers, ranks
 from rillmark.operators.quantiles import quantiles
 from rillmark.plans.queries import register
 from rillmark.plans.rollouts import table
+from rillmark.sources import publishing
 
 #: Five labellings of the orders: by status, priority, month, a coarse price and the customer.
 _LABELS_SQL = """SELECT run, o_orderkey AS row, label FROM (SELECT o_orderkey, unnest([0, 1, 2, 3, 4]) AS run, unnest([o_orderstatus, o_orderpriority, strftime(o_orderdate, '%m'), CAST(CAST(floor(o_totalprice / 20000) AS BIGINT) AS VARCHAR), CAST(o_custkey AS VARCHAR)]) AS label FROM orders) z"""
@@ -116,3 +117,12 @@ def average_test_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("task"), F.col("s_nationkey").alias("n_base"))
     got = covers.average_tests(base, table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("task")))
     return got.withColumn("average", F.round("average", 9))
+
+
+_WORDS_SQL = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(publishing.WORDS))
+
+
+@register(f"""WITH h AS (SELECT sha256('{{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}}') AS h FROM orders)
+  SELECT substr(h, 1, 2) AS leaf, count(*) AS rows, sha256(concat_ws(',', count(*), {_WORDS_SQL})) AS digest FROM h GROUP BY leaf""")
+def order_leaf_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publishing.leaf_digests(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_custkey", "o_orderpriority"))
