@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.arrays import pass_at_k
+from rillmark.operators.quantiles import quantiles
 
 
 def sizes(n: int) -> list[int]:
@@ -86,10 +87,11 @@ def summarise(df: DataFrame, expected: int) -> DataFrame:
     """
     good = (F.size("correct") == expected) & (F.size("lengths") == expected)
     right = F.when(good, F.aggregate("correct", F.lit(0), lambda a, x: a + x.cast("int"))).otherwise(F.raise_error(F.lit(f"expected {expected} samples")).cast("int"))
-    rows = df.withColumn("__c", right).withColumn("__l", F.explode("lengths"))
+    rows = df.select("dataset", F.explode("lengths").alias("length"))
     per = df.withColumn("__c", right).groupBy("dataset").agg(F.count("*").alias("n_problems"), (F.sum("__c") / (F.count("*") * expected)).alias("pass_at_1"), F.avg((F.col("__c") > 0).cast("double")).alias(f"pass_at_{expected}"))
-    length = rows.groupBy("dataset").agg(F.avg("__l").alias("mean_length"), F.median("__l").alias("median_length"))
-    return per.join(length, "dataset")
+    length = rows.groupBy("dataset").agg(F.avg("length").alias("mean_length"))
+    middle = quantiles(rows, ["dataset"], "length", [0.5]).select("dataset", F.col("q")[0].alias("median_length"))
+    return per.join(length, "dataset").join(middle, "dataset", "left")
 
 
 def compare(candidate: DataFrame, baseline: DataFrame, metrics: list[str]) -> DataFrame:
