@@ -1,8 +1,8 @@
 """Answers compared and grouped by what they mean.
 
-The normal form of an answer is made where the row is, with a bounded table of the texts seen last,
-as sampled answers repeat; everything after that is equality of keys, so grouping and joining by
-meaning are ordinary aggregations and equi-joins.
+Sampled answers repeat, so every different text is read once, however many rows have it: the texts are
+counted, their normal forms made side by side and joined back to the rows.  Everything after that is
+equality of keys, so grouping and joining by meaning are ordinary aggregations and equi-joins.
 """
 
 from __future__ import annotations
@@ -10,17 +10,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.functions.algebra import answer_key
+from rillmark.functions.algebra import LONGEST, answer_key
+from rillmark.sources.staging import joined_by_count, staged
 
+#: Forms of so many texts and characters at most are broadcast; more are joined by text, the frequent ones apart.
+BROADCAST_TEXTS, BROADCAST_CHARS = 200_000, 24_000_000
 
-def with_keys(rows: DataFrame, *columns: str) -> DataFrame:
-    """``rows`` and, for each column c of texts, c_key (null if it cannot be read) and c_near (a constant's number)."""
+
+def read_texts(rows: DataFrame, *columns: str) -> DataFrame:
+    """text, n (how often the columns have it), form (key, near) of the different texts that can be read; on disk."""
+    texts = rows.select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("text"))
+    counted = texts.where(F.length("text") <= LONGEST).groupBy("text").agg(F.count("*").alias("n"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    formed = staged(counted.repartition(tasks).select("text", "n", answer_key("text").alias("form")))  # a filter before it is written would read the texts twice
+    near = F.col("form.near")
+    return formed.where("form.key IS NOT NULL").select("text", "n", F.struct(F.col("form.key").alias("key"), F.when(~F.isnan(near), near).alias("near")).alias("form"))
+
+
+def with_keys(rows: DataFrame, *columns: str, most: int = BROADCAST_TEXTS) -> DataFrame:
+    """``rows`` and, for each column c of texts, c_key (null if it cannot be read) and c_near (a constant's number).
+
+    ``rows`` are gone through twice, so they must be the same each time.
+    """
+    known = read_texts(rows, *columns)
+    texts, chars, total = known.agg(F.count("*"), F.sum(F.length("text") + F.length("form.key")), F.sum("n")).first()
     out = rows
     for c in columns:
-        out = out.withColumn(f"{c}_form", answer_key(F.col(c).cast("string")))
+        form = f"__{c}_form"
+        if texts <= most and (chars or 0) <= BROADCAST_CHARS:
+            table = known.select(F.col("text").alias(f"__{c}_text"), F.col("form").alias(form))
+            out = out.join(F.broadcast(table), F.col(c).cast("string") == F.col(f"__{c}_text"), "left").drop(f"__{c}_text")
+        else:
+            table = known.select(F.col("text").alias(f"__{c}_text"), F.col("n").alias("__n"), F.col("form").alias(form))
+            asked = out.withColumn(f"__{c}_text", F.col(c).cast("string"))
+            out = joined_by_count(asked, table, f"__{c}_text", "__n", total, form).drop(f"__{c}_text")
     for c in columns:
-        near = F.col(f"{c}_form.near")
-        out = out.withColumns({f"{c}_key": F.col(f"{c}_form.key"), f"{c}_near": F.when(~F.isnan(near), near)}).drop(f"{c}_form")
+        form = f"__{c}_form"
+        out = out.withColumns({f"{c}_key": F.col(f"{form}.key"), f"{c}_near": F.col(f"{form}.near")}).drop(form)
     return out
 
 
