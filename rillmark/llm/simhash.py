@@ -353,11 +353,25 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int = STAGE_WORDS, least:
 
 
 def shared_prefixes(reps: DataFrame) -> DataFrame:
-    """key, row, size, n of the prefix shingles that n > 1 rows have; one shuffle of all prefixes."""
-    filed = reps.select(F.explode("prefix").alias("key"), "row", F.col("size").cast("int").alias("size"))
+    """key, row, size, rest, n of the prefix shingles that n > 1 rows have; one shuffle of all prefixes.
+
+    ``rest`` counts the text's shingles from this one on, in the order of prefixes.
+    """
+    filed = reps.select(F.posexplode("prefix").alias("at", "key"), "row", F.col("size").cast("int").alias("size"))
+    filed = filed.select("key", "row", "size", (F.col("size") - F.col("at")).alias("rest"))
     return filed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
 
 
+def first_shared(m: Column, n: Column, rest: Column, other: Column, least: float) -> Column:
+    """Whether a shingle that texts of m and n shingles share can be the first that they share, if they reach the similarity.
+
+    From the first one on, each text must have as many shingles as similar texts share.  So a text
+    with many shingles of its own, which come first in the order, meets no other at the later ones.
+    """
+    sizes = F.least(m, n) >= F.lit(least) * F.greatest(m, n) - F.lit(1e-9)
+    return sizes & (F.least(rest, other) >= F.lit(least / (1 + least)) * (m + n) - F.lit(1e-6))
+
+
 def possible(m: Column, n: Column, shared: Column, least: float) -> Column:
     """Whether texts of m and n shingles that share so many in their prefixes can reach the similarity.
 
@@ -369,6 +383,24 @@ def possible(m: Column, n: Column, shared: Column, least: float) -> Column:
     return sizes & (shared + beyond >= F.lit(least / (1 + least)) * (m + n) - F.lit(1e-6))
 
 
+def meetings(filed: DataFrame, total: int, least: float, every: bool, scratch: storage.Scratch) -> DataFrame:
+    """a, b, m, size of rows of two components, once for each shingle that can be the first that they share.
+
+    ``filed`` (key, row, size, rest, root, weight; at most ``total`` rows) is on disk.
+    """
+    hubs = filed.groupBy("key").agg(F.max(F.struct("weight", "row", "size", "root", "rest")).alias("h"), F.count("*").alias("many"))
+    hubs = scratch.staged(hubs.select("key", "many", F.col("h.row").alias("x"), F.col("h.size").alias("m"), F.col("h.root").alias("s"), F.col("h.weight").alias("w"), F.col("h.rest").alias("left")), "hubs")
+    met = storage.joined(filed, hubs, "key", "many", total).where("root <> s")
+    if every:  # the hub's own component needs no pairs within, so the others ask
+        met = met.select("key", F.col("row").alias("x"), F.col("size").alias("m"), F.col("root").alias("s"), F.col("weight").alias("w"), F.col("rest").alias("left"), F.col("s").alias("h")).join(filed.hint("merge"), "key").where("root <> s")
+    heavier = (F.col("w") > F.col("weight")) | ((F.col("w") == F.col("weight")) & (F.col("x") >= F.col("row")))
+    ends = F.when(heavier, F.struct(F.col("x").alias("a"), F.col("row").alias("b"))).otherwise(F.struct(F.col("row").alias("a"), F.col("x").alias("b")))
+    if every:  # where both ask, the heavier one does
+        met = met.where(heavier | (F.col("root") == F.col("h")))
+    met = met.where(first_shared(F.col("m"), F.col("size"), F.col("left"), F.col("rest"), least))
+    return met.select(ends.alias("p"), F.least("m", "size").alias("m"), F.greatest("m", "size").alias("size")).select("p.a", "p.b", "m", "size")
+
+
 def sharing(shared: DataFrame, total: int, roots: DataFrame, least: float, every: bool, scratch: storage.Scratch) -> DataFrame:
     """Pairs (a, b) of rows of two components that share prefix shingles and could be similar by sizes and number shared.
 
@@ -377,23 +409,18 @@ def sharing(shared: DataFrame, total: int, roots: DataFrame, least: float, every
     copies is the original: a cheap pass that joins most, so that few are left to meet each other.
     ``a`` is the row of the greater weight.
     """
-    rooted = shared.join(roots.hint("merge"), shared["row"] == roots["node"], "left").select("key", "row", "size", "n", F.coalesce("root", "row").alias("root"))
+    rooted = shared.join(roots.hint("merge"), shared["row"] == roots["node"], "left").select("key", "row", "size", "rest", "n", F.coalesce("root", "row").alias("root"))
     rooted = scratch.staged(rooted, "rooted")
     live = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("r"), F.max("root").alias("z")).where("r < z").select("key", F.col("rows").alias("many"), "rows")
     filed = scratch.staged(storage.joined(rooted.drop("n"), scratch.staged(live, "keys"), "key", "many", total), "live")
-    filed = scratch.staged(filed.join(filed.groupBy("row").agg(F.sum("rows").alias("weight")).hint("merge"), "row"), "weighed")
-    hubs = filed.groupBy("key").agg(F.max(F.struct("weight", "row", "size", "root")).alias("h"), F.count("*").alias("many"))
-    hubs = scratch.staged(hubs.select("key", "many", F.col("h.row").alias("x"), F.col("h.size").alias("m"), F.col("h.root").alias("s"), F.col("h.weight").alias("w")), "hubs")
-    met = storage.joined(filed.drop("rows"), hubs, "key", "many", total).where("root <> s")
-    if every:  # the hub's own component needs no pairs within, so the others ask
-        met = met.select("key", F.col("row").alias("x"), F.col("size").alias("m"), F.col("root").alias("s"), F.col("weight").alias("w"), F.col("s").alias("h")).join(filed.drop("rows").hint("merge"), "key").where("root <> s")
-    heavier = (F.col("w") > F.col("weight")) | ((F.col("w") == F.col("weight")) & (F.col("x") >= F.col("row")))
-    ends = F.when(heavier, F.struct(F.col("x").alias("a"), F.col("row").alias("b"))).otherwise(F.struct(F.col("row").alias("a"), F.col("x").alias("b")))
-    if every:  # where both ask, the heavier one does
-        met = met.where(heavier | (F.col("root") == F.col("h")))
-    met = met.where(F.least("m", "size") >= F.lit(least) * F.greatest("m", "size") - F.lit(1e-9))
-    pairs = met.select(ends.alias("p"), F.least("m", "size").alias("m"), F.greatest("m", "size").alias("size")).groupBy("p.a", "p.b", "m", "size").agg(F.count("*").alias("shared"))
-    return pairs.where(possible(F.col("m"), F.col("size"), F.col("shared"), least)).select("a", "b")
+    held = scratch.staged(filed.groupBy("row").agg(F.sum("rows").alias("weight"), F.collect_list("key").alias("keys")), "held")
+    filed = scratch.staged(filed.drop("rows").join(held.drop("keys").hint("merge"), "row"), "weighed")
+    pairs = scratch.staged(meetings(filed, total, least, every, scratch).distinct(), "met")
+    many = pairs.count()
+    for end in ("a", "b"):  # all live shingles of their prefixes, not only those at which they met
+        asked = pairs.groupBy(end).agg(F.count("*").alias("many")).join(held.hint("merge"), F.col(end) == F.col("row")).select(end, "many", F.col("keys").alias(f"keys_{end}"))
+        pairs = storage.joined(pairs, asked, end, "many", many)
+    return pairs.where(possible(F.col("m"), F.col("size"), F.size(F.array_intersect("keys_a", "keys_b")), least)).select("a", "b")
 
 
 def deduplicated(docs: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARITY) -> DataFrame:
