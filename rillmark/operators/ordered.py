@@ -2,10 +2,11 @@
 
 Every filtered row is to be matched with an original row of its key so that positions rise with rows.
 The earliest positions come from a greedy pass forwards, the latest from one backwards; where both
-agree there is just one match.  Keys that stand once on both sides are anchors: their pairs are given,
-and they cut both sequences into segments that are matched side by side.  A segment is
-taken ``CHUNK`` rows of either side at a time, with its two places as state between the rounds, so no
-task ever holds more of one, however long it is or how often a key repeats.
+agree there is just one match.  A sequence of at most ``CHUNK`` rows on either side is walked whole, and
+a task walks many, one after the other.  In longer ones, keys that stand once on both sides are anchors:
+their pairs are given, and they cut both sequences into segments that are matched side by side.  A
+segment is taken ``CHUNK`` rows of either side at a time, with its two places as state between the
+rounds, so no task ever holds more of one, however long it is or how often a key repeats.
 
 Defined cases: null keys equal each other, and so do null groups; a row whose key the originals lack
 takes no part in the matching and says so; a sequence of which any other row finds no place has
@@ -14,11 +15,14 @@ no ordered match, and none of its rows has a position; an empty side gives no ro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from rillmark.functions.text import provenance_answer
 from rillmark.sources.staging import staged
@@ -91,6 +95,75 @@ def greedy(filtered: DataFrame, original: DataFrame, chunk: int = CHUNK) -> Data
     return done if done is not None else filtered.select("seq", "row", F.lit(None).cast("long").alias("position")).limit(0)
 
 
+def _walk(held: list[int], wanted: list[int]) -> list[int] | None:
+    """The earliest place in ``held`` of each of ``wanted``, in rising order; None where one finds no place."""
+    found, at = [], 0
+    for key in wanted:
+        try:
+            at = held.index(key, at) + 1
+        except ValueError:
+            return None
+        found.append(at - 1)
+    return found
+
+
+def _outcomes(rows: pa.Table) -> pa.Table:
+    """All filtered rows of ``rows`` with their matches; sequences are whole and sorted by seq, side, place."""
+    seq = rows.column("seq").combine_chunks()
+    starts = np.concatenate([[0], np.flatnonzero(pc.not_equal(seq[1:], seq[:-1]).to_numpy(zero_copy_only=False)) + 1, [len(seq)]]).tolist()
+    side, place = rows.column("side").to_numpy(), rows.column("place").to_numpy()
+    keys = rows.column("key").combine_chunks().dictionary_encode().indices.to_pylist()
+    originals = np.concatenate([[0], np.cumsum(side == 0)]).tolist()
+    ends, outcome = np.full((2, len(seq)), -1), np.zeros(len(seq), np.int8)
+    for start, end in zip(starts[:-1], starts[1:], strict=True):
+        middle = start + originals[end] - originals[start]
+        held = keys[start:middle]
+        known = set(held)
+        mine = [i for i in range(middle, end) if keys[i] in known]
+        wanted = [keys[i] for i in mine]
+        first = _walk(held, wanted)
+        if first is None:
+            outcome[mine] = 1
+        elif mine:
+            last = [len(held) - 1 - k for k in _walk(held[::-1], wanted[::-1])][::-1]
+            ends[:, mine] = np.array([first, last]) + start
+            outcome[mine] = np.where(np.equal(first, last), 3, 2)
+    mine = np.flatnonzero(side == 1)
+    at = lambda of: pa.array(place[of[mine]], mask=of[mine] < 0)
+    told = pa.array([NO_KEY, NO_PLACE, AMBIGUOUS, MATCHED]).take(pa.array(outcome[mine]))
+    taken = rows.take(pa.array(mine))
+    by = [c for c in rows.column_names if c.startswith("by")]
+    return pa.table({**{c: taken.column(c) for c in by}, "row": taken.column("place"), "earliest": at(ends[0]), "latest": at(ends[1]), "outcome": told})
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_outcomes`` of rows in order, whose sequences may go on from batch to batch; the last one waits."""
+    waits = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([waits, rows]) if waits is not None else rows
+        seq = rows.column("seq")
+        ready = pc.index(seq, seq[-1]).as_py()
+        if ready:
+            yield from _outcomes(rows.slice(0, ready)).combine_chunks().to_batches()
+        waits = rows.slice(ready)
+    if waits is not None:
+        yield from _outcomes(waits).combine_chunks().to_batches()
+
+
+def walked(filtered: DataFrame, original: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, row, earliest, latest, outcome of sequences that a task can hold: each is walked whole, many in a task."""
+    kinds = [filtered.schema[c].dataType for c in by]
+    named = [f"by{i}" for i in range(len(by))]
+    f = filtered.select("seq", F.lit(1).alias("side"), F.col("row").alias("place"), "key", *[F.col(c).alias(n) for c, n in zip(by, named, strict=True)])
+    o = original.select("seq", F.lit(0).alias("side"), F.col("position").alias("place"), "key", *[F.lit(None).cast(k).alias(n) for k, n in zip(kinds, named, strict=True)])
+    schema = StructType([*[StructField(n, k) for n, k in zip(named, kinds, strict=True)], *[StructField(c, LongType()) for c in ("row", "earliest", "latest")], StructField("outcome", StringType())])
+    done = f.unionByName(o).repartition("seq").sortWithinPartitions("seq", "side", "place").mapInArrow(_whole, schema)
+    return done.select(*[F.col(n).alias(c) for c, n in zip(by, named, strict=True)], "row", "earliest", "latest", "outcome")
+
+
 def ordered_matches(filtered: DataFrame, original: DataFrame, keys: Sequence[str], by: Sequence[str] = (), row: str = "row", position: str = "position", chunk: int = CHUNK) -> DataFrame:
     """by, row, earliest, latest, outcome of every filtered row; rows and positions are unique whole numbers within a sequence.
 
@@ -99,6 +172,18 @@ def ordered_matches(filtered: DataFrame, original: DataFrame, keys: Sequence[str
     text = lambda columns: F.to_json(F.array(*[F.col(c).cast("string") for c in columns])) if columns else F.lit("")
     side = lambda df, place, name: df.select(*by, text(by).alias("seq"), text(keys).alias("key"), F.col(place).cast("long").alias(name))
     all_f, o = staged(side(filtered, row, "row")), staged(side(original, position, "position").drop(*by))
+    sizes = all_f.select("seq", F.lit(1).alias("f")).unionByName(o.select("seq", F.lit(0).alias("f"))).groupBy("seq").agg(F.sum("f").alias("f"), F.sum(1 - F.col("f")).alias("o"))
+    long = staged(sizes.where(F.greatest("f", "o") > chunk).select("seq"))
+    if long.isEmpty():
+        out = walked(all_f, o, by)
+    else:  # one in ``chunk`` rows at most
+        those = lambda df, how: df.join(F.broadcast(long), "seq", how).select(*df.columns)
+        out = walked(those(all_f, "left_anti"), those(o, "left_anti"), by).unionByName(in_segments(those(all_f, "left_semi"), those(o, "left_semi"), by, chunk))
+    return out.select(*by, F.col("row").alias(row), "earliest", "latest", "outcome")
+
+
+def in_segments(all_f: DataFrame, o: DataFrame, by: Sequence[str], chunk: int) -> DataFrame:
+    """by, row, earliest, latest, outcome of sequences of any length, cut at their anchors and taken in chunks."""
     known = o.select("seq", "key").distinct()
     f = staged(all_f.drop(*by).join(known.hint("merge"), ["seq", "key"], "left_semi"))
     fixed = staged(anchors(f, o))
@@ -111,7 +196,7 @@ def ordered_matches(filtered: DataFrame, original: DataFrame, keys: Sequence[str
     out = all_f.join(found.withColumn("has_key", F.lit(True)).hint("merge"), ["seq", "row"], "left").join(stuck.hint("merge"), "seq", "left")
     outcome = F.when(F.col("has_key").isNull(), NO_KEY).when(F.col("stuck"), NO_PLACE).when(F.col("earliest") == F.col("latest"), MATCHED).otherwise(AMBIGUOUS)
     at = lambda c: F.when(F.col("stuck").isNull(), F.col(c)).alias(c)
-    return out.select(*by, F.col("row").alias(row), at("earliest"), at("latest"), outcome.alias("outcome"))
+    return out.select(*by, "row", at("earliest"), at("latest"), outcome.alias("outcome"))
 
 
 def provenance(filtered: DataFrame, original: DataFrame) -> DataFrame:
