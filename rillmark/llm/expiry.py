@@ -7,6 +7,12 @@ in time can reach any more are closed by event-time timers.  The stream is start
 batch on one checkpoint, with its state in RocksDB, and a sentinel row of a far later hour, which
 opens nothing, lets the watermark pass every window in the last batch.
 
+A run visits each state store once: it takes its copies under the watermark that earlier batches
+left, and first closes what that watermark ends, as windows of the batch that raised it.  (A second
+pass without rows, to close them at once, would load and commit every store again.)  Only the last
+run has such a pass, after its sentinel.  No run finds the stores of the one before, so a store is
+closed when its task ends; what is open at once is one store a running task, however many there are.
+
 State is kept per click_id, for a group of some thousand ids at once: one ``ValueState`` a group
 holds for each open window its opener (start, hash), the counters and the crc sum, packed in one
 row of bytes.  (One state a click_id was measured first: each call for a key costs 3 ms of CPU,
@@ -24,6 +30,7 @@ table's is touched; timestamps without a zone are taken as UTC.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,10 +84,11 @@ def copies(clicks: DataFrame) -> DataFrame:
     return each.withColumn("later", F.col("hour") + F.floor(F.col("c") / 10) % 200)
 
 
-def write_batches(clicks: DataFrame, root: str, batches: int = BATCHES, group_rows: int = GROUP_ROWS) -> tuple[int, int] | None:
+def write_batches(clicks: DataFrame, root: str, batches: int = BATCHES, group_rows: int = GROUP_ROWS) -> tuple[int, int, int, list[int]] | None:
     """Write the copies below ``root`` as batch=0, batch=1, ... and the sentinel as the one after.
 
-    Returns the first hour and the number of groups, or None if there are no copies.
+    Returns the first and the last hour, the number of groups and the batches that have copies, or
+    None if there are no copies.
     """
     spark = clicks.sparkSession
     all_copies = copies(clicks)
@@ -90,13 +98,14 @@ def write_batches(clicks: DataFrame, root: str, batches: int = BATCHES, group_ro
     batch = F.floor((F.col("later") - F.lit(low)) * F.lit(batches) / F.lit(high - low + 1)).cast("int")
     groups = -(-rows // group_rows)
     part = F.pmod(F.xxhash64("click_id"), F.lit(groups)).cast("int")
-    told = F.sha2(F.concat_ws("|", "told", F.col("c") % 3), 256)
-    once = all_copies.select(batch.alias("batch"), part.alias("part"), "click_id", "hour", told.alias("h")).groupBy("batch", "part", "click_id", "hour", "h").agg(F.count("*").alias("n"))
-    once = once.select("batch", "part", "click_id", "hour", F.unhex("h").alias("hash"), F.crc32("h").alias("crc"), "n")
+    told = F.unhex(F.sha2(F.concat_ws("|", "told", F.col("c") % 3), 256))
+    once = all_copies.select(batch.alias("batch"), part.alias("part"), "click_id", "hour", told.alias("hash")).groupBy("batch", "part", "click_id", "hour", "hash").agg(F.count("*").alias("n"))
+    once = once.select("batch", "part", "click_id", "hour", "hash", F.crc32(F.lower(F.hex("hash"))).alias("crc"), "n")
     once.write.partitionBy("batch").parquet(root)
+    full = sorted({int(re.search(r"/batch=(\d+)/", f)[1]) for f in spark.read.schema(f"{FED}, batch int").parquet(root).inputFiles()})
     end = spark.range(1).select(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("click_id"), F.lit(last + SPAN + LATE + 2).cast("long").alias("hour"), F.lit(b"").alias("hash"), F.lit(0).cast("long").alias("crc"), F.lit(0).cast("long").alias("n"))
     end.write.parquet(f"{root}/batch={batches}")
-    return first, groups
+    return first, last, groups, full
 
 
 # ---- the fold
@@ -153,18 +162,31 @@ def fold(held: np.ndarray, click: np.ndarray, hour: np.ndarray, digest: np.ndarr
 
 
 class Expiry(StatefulProcessor):
-    """Open windows of a group of clicks in batch number ``batch``; at hour ``base`` event time is ``FIRST_HOUR``."""
+    """Open windows of a group of clicks in batch number ``batch``; at hour ``base`` event time is ``FIRST_HOUR``.
+
+    What the watermark ends when the run begins was closed after ``before``, the last batch with
+    copies until then; only the sentinel brings it past ``last``, the greatest hour of all copies.
+    """
 
-    def __init__(self, batch: int, base: int, span: int = SPAN):
-        self.batch, self.base, self.span = batch, base, span
+    def __init__(self, batch: int, before: int, base: int, last: int, span: int = SPAN):
+        self.batch, self.before, self.base, self.last, self.span = batch, before, base, last, span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("windows", "timer long, open binary")
 
-    def _ends(self, start: int) -> int:
+    def _at(self, hour):
+        """Event time of an hour, or of an array of hours."""
+        return (hour - self.base + FIRST_HOUR) * HOUR_MS
+
+    def _ends(self, start):
         """When a window's timer goes off: as soon as the watermark is past its last hour."""
-        return (start + self.span + 1 - self.base + FIRST_HOUR) * HOUR_MS - 1
+        return self._at(start + self.span + 1) - 1
+
+    def _parted(self, windows: np.ndarray, watermark: int) -> tuple[np.ndarray, Iterator[pd.DataFrame]]:
+        """The windows that the watermark leaves open, and the rows of the others."""
+        over = self._ends(windows["start"]) <= watermark
+        return windows[~over], self._told(windows[over], self.batch if watermark > self._at(self.last) else self.before)
 
     def _keep(self, windows: np.ndarray, timer: int | None) -> None:
         """Store the windows, and see to it that a timer goes off when the first of them ends."""
@@ -180,32 +202,33 @@ class Expiry(StatefulProcessor):
             self.handle.registerTimer(ends)
         self.state.update((ends, windows.tobytes()))
 
-    def _told(self, windows: np.ndarray) -> Iterator[pd.DataFrame]:
+    def _told(self, windows: np.ndarray, batch: int) -> Iterator[pd.DataFrame]:
         if len(windows):
-            values = (windows["click"], windows["start"], self.batch, windows["repeats"], windows["conflicts"], windows["crc"], [h.tobytes() for h in windows["hash"].astype(">u8")])
+            values = (windows["click"], windows["start"], batch, windows["repeats"], windows["conflicts"], windows["crc"], [h.tobytes() for h in windows["hash"].astype(">u8")])
             yield pd.DataFrame({c.split()[0]: v for c, v in zip(CLOSED.split(", "), values, strict=True)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         parts = list(rows)
         if key[0] < 0:  # the sentinel
             return
-        held = self.state.get()
-        open_ = np.frombuffer(held[1], WINDOW) if held else np.zeros(0, WINDOW)
+        held, past = self.state.get(), timerValues.getCurrentWatermarkInMs()
+        open_, over = self._parted(np.frombuffer(held[1], WINDOW) if held else np.zeros(0, WINDOW), past)
         column = lambda c: np.concatenate([p[c].to_numpy(np.int64) for p in parts])
         digest = np.frombuffer(b"".join(x for p in parts for x in p["hash"]), ">u8").astype("<u8").reshape(-1, 4)
-        now, closed = fold(open_, column("click_id"), column("hour"), digest, column("crc"), column("n"), self.span)
+        hour = column("hour")
+        timely = self._at(hour) > past  # Spark itself drops what was late a batch ago
+        now, closed = fold(open_, column("click_id")[timely], hour[timely], digest[timely], column("crc")[timely], column("n")[timely], self.span)
         self._keep(now, held[0] if held else None)
-        yield from self._told(closed)
+        yield from over
+        yield from self._told(closed, self.batch)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self.state.get()
         if not held:
             return
-        windows = np.frombuffer(held[1], WINDOW)
-        past = timerValues.getCurrentWatermarkInMs()
-        over = (windows["start"] + self.span + 1 - self.base + FIRST_HOUR) * HOUR_MS - 1 <= past
-        self._keep(windows[~over], None)  # this timer is gone by itself
-        yield from self._told(windows[over])
+        open_, over = self._parted(np.frombuffer(held[1], WINDOW), timerValues.getCurrentWatermarkInMs())
+        self._keep(open_, None)  # this timer is gone by itself
+        yield from over
 
     def close(self) -> None:
         pass
@@ -221,27 +244,30 @@ def windows(clicks: DataFrame, batches: int = BATCHES, span: int = SPAN, late: i
     written = write_batches(clicks, f"{root}/in", batches, group_rows)
     if not written:
         return spark.createDataFrame([], CLOSED).withColumn("hash", F.hex("hash"))
-    base, groups = written
+    base, last, groups, full = written
     session = spark.newSession()  # the settings of the stream are not the user's
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS_A_TASK))
-    settings = {"providerClass": ROCKS, "rocksdb.changelogCheckpointing.enabled": "true", "rocksdb.allowFAllocate": "false"}
+    settings = {"providerClass": ROCKS, "rocksdb.changelogCheckpointing.enabled": "true", "rocksdb.allowFAllocate": "false", "unloadOnCommit": "true"}
     for key, value in settings.items():
         session.conf.set(f"spark.sql.streaming.stateStore.{key}", value)
+    session.conf.set("spark.sql.streaming.checkpoint.fileChecksum.enabled", "false")  # twice the files, for a checkpoint that ends with the query
     session.conf.set("spark.sql.shuffle.partitions", str(parts))
     session.conf.set("spark.sql.session.timeZone", "UTC")
     for batch in range(batches):
-        run_batch(session, root, base, batch, batches, span, late)
+        session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(batch == batches - 1).lower())
+        before = max((b for b in full if b < batch), default=batch)
+        run_batch(session, root, Expiry(batch, before, base, last, span), batches, late)
     # the sink's own log says which files count
     return spark.read.schema(CLOSED).parquet(f"{root}/closed").withColumn("hash", F.lower(F.hex("hash")))
 
 
-def run_batch(session: SparkSession, root: str, base: int, batch: int, batches: int, span: int, late: int) -> None:
-    """Start the stream on its checkpoint, let it take batch number ``batch`` and close what that ends."""
-    seen = [*range(batch + 1), *([batches] if batch == batches - 1 else [])]  # the last one brings the sentinel
+def run_batch(session: SparkSession, root: str, expiry: Expiry, batches: int, late: int) -> None:
+    """Start the stream on its checkpoint and let it take one batch, after closing what the earlier ones end."""
+    seen = [*range(expiry.batch + 1), *([batches] if expiry.batch == batches - 1 else [])]  # the last one brings the sentinel
     rows = session.readStream.schema(FED).parquet(f"{root}/in/batch={{{','.join(map(str, seen))}}}")
-    moment = F.timestamp_millis((F.col("hour") - F.lit(base - FIRST_HOUR)) * F.lit(HOUR_MS))
+    moment = F.timestamp_millis((F.col("hour") - F.lit(expiry.base - FIRST_HOUR)) * F.lit(HOUR_MS))
     # a row exactly at the watermark would be late, so it stays a millisecond behind
     timed = rows.withColumn("at", moment).withWatermark("at", f"{late * HOUR_MS + 1} milliseconds")
-    out = timed.groupBy("part").transformWithStateInPandas(Expiry(batch, base, span), CLOSED, "Append", "EventTime")
+    out = timed.groupBy("part").transformWithStateInPandas(expiry, CLOSED, "Append", "EventTime")
     query = out.writeStream.format("parquet").option("path", f"{root}/closed").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()

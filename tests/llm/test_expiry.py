@@ -3,6 +3,7 @@ import math
 import random
 import zlib
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -106,3 +107,23 @@ def test_fold_in_parts(seed):
                     held[c] = [h, k, 0, 0, 0]
     assert sorted(closed) == sorted(want)
     assert sorted((int(w["click"]), int(w["start"]), int(w["repeats"]), int(w["conflicts"]), int(w["crc"])) for w in open_) == sorted((c, w[0], *w[2:]) for c, w in held.items())
+
+
+def test_each_store_is_visited_once_a_batch(spark, monkeypatch):
+    """Ten batches, one of them empty, take a pass each and the last one two; what closed after a batch says so."""
+    roots, new_path = [], expiry.storage.new_path
+    monkeypatch.setattr(expiry.storage, "new_path", lambda *a: roots.append(new_path(*a)) or roots[-1])
+    rng = random.Random(5)
+    start, rows = datetime(2024, 1, 1), []
+    for i in range(400):
+        click, day = rng.randrange(30), rng.choice([rng.randrange(20), 90 + rng.randrange(20)])
+        moment = start + timedelta(days=day, minutes=rng.randrange(60 * 24))
+        rows.append((click, moment, moment, i % 3, "view", 0.5, None))
+    clicks = spark.createDataFrame(rows, "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, client_id long, kind string, value double, props string")
+    got = shown(expiry.windows(clicks, group_rows=50))
+    micros = lambda t: (t - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    assert got == brute([(r[0], micros(r[1]), micros(r[2]), *r[3:]) for r in rows])
+    path = Path(roots[0].removeprefix("file://"))
+    batches = len(list(path.glob("in/batch=*"))) - 1
+    assert batches < 10
+    assert len([p for p in path.glob("checkpoint/commits/*") if p.name.isdigit()]) == batches + 1
